@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from skyledger.llm.decontaminate import OP4_SQL, op4_decontamination
 from skyledger.llm.language_id import op1_language_id
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op4_decontamination": op4_decontamination,
 }
 
 #: DuckDB SQL, where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_decontamination": OP4_SQL,
+}
