@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from skyledger.llm.decontaminate import OP4_SQL, op4_decontamination
 from skyledger.llm.language_id import op1_language_id
+from skyledger.llm.simhash import op3_simhash
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
 }
 
