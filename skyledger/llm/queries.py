@@ -5,14 +5,19 @@ from __future__ import annotations
 from skyledger.llm.decontaminate import OP4_SQL, op4_decontamination
 from skyledger.llm.language_id import op1_language_id
 from skyledger.llm.simhash import op3_simhash
+from skyledger.llm.vafile import OP5_SQL, op5_topk
+from skyledger.llm.warc import op2_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
+    "op5_topk": op5_topk,
 }
 
 #: DuckDB SQL, where SQL can express the operator.
 ORACLES: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
+    "op5_topk": OP5_SQL,
 }
