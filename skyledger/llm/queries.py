@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skyledger.llm.decontaminate import OP4_SQL, op4_decontamination
 from skyledger.llm.language_id import op1_language_id
+from skyledger.llm.quality import op8_quality
 from skyledger.llm.simhash import op3_simhash
 from skyledger.llm.toxicity import op6_toxicity
 from skyledger.llm.vafile import OP5_SQL, op5_topk
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_topk": op5_topk,
     "op6_toxicity": op6_toxicity,
+    "op8_quality": op8_quality,
 }
 
 #: DuckDB SQL, where SQL can express the operator.
