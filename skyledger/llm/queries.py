@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skyledger.llm.decontaminate import OP4_SQL, op4_decontamination
 from skyledger.llm.language_id import op1_language_id
+from skyledger.llm.mixing import OP10_SQL, op10_mixing
 from skyledger.llm.quality import op8_quality
 from skyledger.llm.simhash import op3_simhash
 from skyledger.llm.toxicity import op6_toxicity
@@ -18,10 +19,12 @@ QUERIES = {
     "op5_topk": op5_topk,
     "op6_toxicity": op6_toxicity,
     "op8_quality": op8_quality,
+    "op10_mixing": op10_mixing,
 }
 
 #: DuckDB SQL, where SQL can express the operator.
 ORACLES: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
     "op5_topk": OP5_SQL,
+    "op10_mixing": OP10_SQL,
 }
