@@ -6,6 +6,7 @@ from skyledger.llm.decontaminate import OP4_SQL, op4_decontamination
 from skyledger.llm.language_id import op1_language_id
 from skyledger.llm.mixing import OP10_SQL, op10_mixing
 from skyledger.llm.quality import op8_quality
+from skyledger.llm.sharding import op7_sharding
 from skyledger.llm.simhash import op3_simhash
 from skyledger.llm.toxicity import op6_toxicity
 from skyledger.llm.vafile import OP5_SQL, op5_topk
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_topk": op5_topk,
     "op6_toxicity": op6_toxicity,
+    "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
     "op10_mixing": op10_mixing,
 }
