@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skyledger.llm.decontaminate import OP4_SQL, op4_decontamination
 from skyledger.llm.language_id import op1_language_id
+from skyledger.llm.licenses import op9_licenses
 from skyledger.llm.mixing import OP10_SQL, op10_mixing
 from skyledger.llm.quality import op8_quality
 from skyledger.llm.sharding import op7_sharding
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
+    "op9_licenses": op9_licenses,
     "op10_mixing": op10_mixing,
 }
 
