@@ -36,7 +36,7 @@ def counts(header: list[str], version: str) -> dict[str, int] | None:
             if n is None:
                 return None
             if n:
-                out |= dict.fromkeys(" GRSEM", n)
+                out |= dict.fromkeys(" GRSECJIM", n)
         elif version != "2" and label(line) == TYPES3 and line[:1] != " ":
             n = uint(line[3:6])
             if n is None:
