@@ -44,6 +44,15 @@ class Scratch:
         at.getFileSystem(conf).delete(at, True)
 
 
+#: Tables of single ids are broadcast up to so many rows, about 8 MB; beyond, they are joined.
+MOST_IDS = 500_000
+
+
+def near(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if its count is within the bound."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
 def id_bucket(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

@@ -43,7 +43,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Centroids of unit length; starts from points far from one another, without chance."""
     centres = [x.mean(0)]
     for _ in range(min(k, len(x)) - 1):
-        near = np.max(x @ np.array(centres).T / np.linalg.norm(centres, axis=1), axis=1)
+        near = np.max(x @ np.array(centres).T / np.maximum(np.linalg.norm(centres, axis=1), 1e-12), axis=1)
         centres.append(x[int(np.argmin(near))])
     c = np.array(centres)
     for _ in range(rounds):

@@ -94,7 +94,7 @@ def give_back(linked: DataFrame, shards: int, fair: float) -> DataFrame:
     over = [x - fair for x in loads(linked, shards)]
     if max(over) <= 0:
         return linked.withColumn("free", F.lit(False))
-    rank = F.least(F.lit(15), F.floor(F.log2(F.col("grows").cast("double")))) * 256 + F.pmod(F.xxhash64(*GROUP), F.lit(256))
+    rank = F.least(F.lit(15), F.floor(F.log2(F.col("grows").cast("double")))) * 256 + F.pmod(F.xxhash64(*GROUP, "unit"), F.lit(256))
     ranked = linked.withColumn("rank", rank.cast("int"))
     sums = ranked.groupBy("shard", "rank").agg(F.sum("bytes").alias("bytes"))
     before = F.sum("bytes").over(W.partitionBy("shard").orderBy("rank")) - F.col("bytes")
@@ -103,34 +103,34 @@ def give_back(linked: DataFrame, shards: int, fair: float) -> DataFrame:
     return ranked.join(F.broadcast(given), ["shard", "rank"], "left").withColumn("free", F.coalesce("free", F.lit(False))).drop("rank")
 
 
-def size_classes(free: DataFrame, shards: int) -> list[tuple[int, int]]:
-    """Ranges of log2(bytes), largest first: each class beyond the first holds enough bytes to level
-    out what the items of the class before can leave uneven."""
+def size_classes(free: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of log2(bytes), largest first, each of a factor of 8 in size; the fifth takes the rest."""
     by = dict(free.groupBy(F.floor(F.log2("bytes")).cast("int")).agg(F.sum("bytes")).collect())  # a row a power of two
-    if not by:
-        return []
-    out, high, lowest = [], max(by), min(by)
-    while True:
-        below, cut = 0, lowest
-        for low in range(lowest, high + 1):  # as few of the small ones as will do for items of 2 ** (low + 1) bytes
-            below += by.get(low, 0)
-            cut = low + 1
-            if below >= shards * 2 ** (min(high, low + 2) + 1):
-                break
-        if cut > high or len(out) == 4:
-            out.append((lowest, high))
-            return sorted(out, reverse=True)
-        out.append((cut, high))
-        high = cut - 1
-
-
-def lay_out(free: DataFrame, start: list[int], shards: int, scratch: Scratch) -> DataFrame:
-    """Gives the items their shard, class by class."""
-    now, placed = [float(x) for x in start], None
+    out, high = [], max(by, default=-1)
+    while high >= min(by, default=0):
+        low = high - 2 if len(out) < 4 else min(by)
+        if any(low <= c <= high for c in by):
+            out.append((low, high))
+        high = low - 1
+    return out
+
+
+def lay_out(free: DataFrame, start: list[int], shards: int, fair: float, scratch: Scratch) -> DataFrame:
+    """Gives the items their shard: those over a sixteenth of a fair share, of which there can be no
+    more than 16 a shard, one by one to the emptiest; the others class by class."""
+    now = [float(x) for x in start]
+    columns = [*GROUP, "unit", "bytes", "shard"]
+    huge = []
+    for r in sorted(free.where(F.col("bytes") > fair / 16).select(*columns[:-1]).collect(), key=lambda r: (-r["bytes"], *r)):
+        s = now.index(min(now))
+        now[s] += r["bytes"]
+        huge.append((*r, s))
+    placed = free.sparkSession.createDataFrame(huge, "g long, crc long, size long, unit int, bytes long, shard int")
+    free = free.where(F.col("bytes") <= fair / 16)
     n = free.count()
     buckets = max(16, n // 20_000)
     h = F.xxhash64(*GROUP, "unit", F.lit(7))
-    for k, (low, high) in enumerate(size_classes(free, shards)):
+    for k, (low, high) in enumerate(size_classes(free)):
         items = free.where(F.floor(F.log2("bytes")).between(low, high)).withColumns({"bucket": F.pmod(h, F.lit(buckets)), "h": h})
         sums = items.groupBy("bucket").agg(F.sum("bytes").alias("sum"))
         starts = sums.select("bucket", (F.sum("sum").over(W.orderBy("bucket")) - F.col("sum")).alias("start"))  # a row a bucket of 20,000 items
@@ -144,10 +144,10 @@ def lay_out(free: DataFrame, start: list[int], shards: int, scratch: Scratch) ->
         for s in reversed(range(shards)):
             shard = F.when(middle < ends[s], s).otherwise(shard) if ends[s] > (ends[s - 1] if s else 0) else shard
         got = items.withColumn("within", within).join(starts, "bucket").withColumn("shard", shard.cast("int"))
-        got = scratch.save(got.select(*GROUP, "unit", "bytes", "shard"), f"class-{k}")
+        got = scratch.save(got.select(*columns), f"class-{k}")
         now = [a + b for a, b in zip(now, loads(got, shards), strict=True)]
-        placed = got if placed is None else placed.unionByName(got)
-    return placed if placed is not None else free.select(*GROUP, "unit", "bytes", F.lit(0).alias("shard"))
+        placed = placed.unionByName(got)
+    return placed
 
 
 def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", *, max_rounds: int = 6, slack: float = 0.25) -> DataFrame:
@@ -161,13 +161,13 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     n, total = cells.agg(F.sum("rows"), F.sum("bytes")).first()
     fair = (total or 0) / shards
     linked = propagate(cells.where("grows > 1"), shards, fair * (1 + slack), scratch, max_rounds)
-    # Small groups move as a whole from here, large ones by the cell.
-    unit = F.when(F.col("grows") * F.col("size") > fair / 16, F.col("cell")).otherwise(-1)
-    linked = scratch.save(give_back(linked, shards, fair).withColumn("unit", unit), "linked")
+    # Groups of up to a quarter of a fair share move as a whole from here, larger ones by the cell.
+    unit = F.when(F.col("grows") * F.col("size") > fair / 4, F.col("cell")).otherwise(-1)
+    linked = scratch.save(give_back(linked.withColumn("unit", unit), shards, fair), "linked")
     merged = linked.where("free").groupBy(*GROUP, "unit").agg(F.sum("bytes").alias("bytes"))
     single = cells.where("grows = 1").select(*GROUP, F.col("cell").alias("unit"), "bytes")
     free = scratch.save(merged.unionByName(single), "free")
-    placed = lay_out(free, loads(linked.where("not free"), shards), shards, scratch)
+    placed = lay_out(free, loads(linked.where("not free"), shards), shards, fair, scratch)
     stay = linked.where("not free").select(*GROUP, "cell", "shard")
     moved = linked.where("free").select(*GROUP, "cell", "unit").join(placed, [*GROUP, "unit"]).select(*GROUP, "cell", "shard")
     alone = placed.join(cells.where("grows = 1").select(*GROUP, "cell"), GROUP, "left_semi").select(*GROUP, F.col("unit").cast("int").alias("cell"), "shard")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import Scratch, map_rows, text_bytes
+from skyledger.llm.common import Scratch, map_rows, near, text_bytes
 from skyledger.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -210,14 +210,14 @@ class Near:
         return ok
 
 
-def forest(words: np.ndarray, ids: np.ndarray, near: Near) -> tuple[list, list]:
+def forest(words: np.ndarray, ids: np.ndarray, link: Near) -> tuple[list, list]:
     """Edges of a spanning forest of the links, breadth first over blocks."""
     left, us, vs = np.arange(len(ids)), [], []
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             step, front = front[:64], front[64:]
-            linked = near.table(words, step, left)
+            linked = link.table(words, step, left)
             found = linked.any(0)
             if found.any():
                 dist = np.bitwise_count(words[step][:, None, :] ^ words[left[found]][None, :, :]).sum(2, dtype=np.int16)
@@ -227,7 +227,7 @@ def forest(words: np.ndarray, ids: np.ndarray, near: Near) -> tuple[list, list]:
     return us, vs
 
 
-def verify(groups: DataFrame, keys: list[str], near: Near, small: int = 48) -> DataFrame:
+def verify(groups: DataFrame, keys: list[str], link: Near, small: int = 48) -> DataFrame:
     """Edges (u, v) within groups of equal keys; the rows come sorted by the keys, part by part."""
     names = [*keys, "id", "fp", *(c for c in groups.columns if c in GUARDS)]
     n_keys = len(keys)
@@ -241,11 +241,11 @@ def verify(groups: DataFrame, keys: list[str], near: Near, small: int = 48) -> D
             at = np.flatnonzero((of[:-d] <= small) & (key[d:] == key[:-d])) if len(key) > d else []
             if not len(at):
                 break
-            at = at[near.pairs(words, at, at + d)]
+            at = at[link.pairs(words, at, at + d)]
             us.append(ids[at])
             vs.append(ids[at + d])
         for start, size in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-            a, b = forest(words[start : start + size], ids[start : start + size], near)
+            a, b = forest(words[start : start + size], ids[start : start + size], link)
             us += a
             vs += b
         return np.concatenate(us or [ids[:0]]), np.concatenate(vs or [ids[:0]])
@@ -282,8 +282,8 @@ def similar_edges(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     the groups leave few. Of rows of one id the smallest text counts.
     """
     edges = scratch.save(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    ends = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ends, "id").groupBy("id").agg(F.min("text").alias("text"))
+    ends = scratch.save(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ends")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(near(ends), "id").groupBy("id").agg(F.min("text").alias("text"))
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -307,7 +307,7 @@ def similar_edges(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str,
 
         return f
 
-    return map_rows(edges.join(a, "u").join(b, "v").select("u", "v", "a", "b"), judge, "u long, v long")
+    return map_rows(edges.join(a.hint("merge"), "u").join(b.hint("merge"), "v").select("u", "v", "a", "b"), judge, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, radius: int = 3, guard: int | None = None, similarity: float | None = None, block: int = 2048) -> DataFrame:
@@ -355,7 +355,12 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     the bits different, with much spread over 64 bits; so the radius is 10 of 64, with a guard of 50
     of 256 bits before texts are compared. Rows without id have no group and stay.
     """
-    found = near_duplicates(docs, shingle=5, radius=10, guard=50, similarity=0.8, block=8192)
-    keep = found.where("id = component_id").select(F.col("id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_keep"]).drop("_keep").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(spark, "dedup")
+    found = scratch.save(near_duplicates(docs, shingle=5, radius=10, guard=50, similarity=0.8, block=16384), "classes")
+    dropped = scratch.save(found.where("id <> component_id").select(F.col("id").alias("_drop")).distinct(), "dropped")
+    kept = docs.join(near(dropped), docs["doc_id"] == F.col("_drop"), "left_anti")
+    repeated = scratch.save(found.where("id = component_id").groupBy(F.col("id").alias("_again")).count().where("count > 1").select("_again"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(near(repeated), kept["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(near(repeated), kept["doc_id"] == F.col("_again"), "left_anti").unionByName(again)
