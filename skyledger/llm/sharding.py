@@ -164,6 +164,9 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     # Groups of up to a quarter of a fair share move as a whole from here, larger ones by the cell.
     unit = F.when(F.col("grows") * F.col("size") > fair / 4, F.col("cell")).otherwise(-1)
     linked = scratch.save(give_back(linked.withColumn("unit", unit), shards, fair), "linked")
+    # a small group that quotas left cut is laid out as a whole
+    cut = (F.col("unit") == -1) & (F.min("shard").over(group) < F.max("shard").over(group))
+    linked = scratch.save(linked.withColumn("free", F.col("free") | cut), "settled")
     merged = linked.where("free").groupBy(*GROUP, "unit").agg(F.sum("bytes").alias("bytes"))
     single = cells.where("grows = 1").select(*GROUP, F.col("cell").alias("unit"), "bytes")
     free = scratch.save(merged.unionByName(single), "free")
