@@ -23,19 +23,33 @@ def signal_window() -> W:
     return W.partitionBy(*SIGNAL).orderBy("epoch_idx")
 
 
+#: Codes of one system are kept as bits of so many longs, 63 in each.
+WORDS = 3
+
+
+def by_satellite_and_epoch(obs: DataFrame) -> DataFrame:
+    """(file, epoch_idx, sv, n, m0..): observations that are present, counted and as bits of their codes."""
+    bit = lambda k: F.when(is_present() & F.col("code_idx").between(63 * k, 63 * k + 62), F.expr(f"shiftleft(1L, code_idx - {63 * k})"))
+    masks = [F.coalesce(F.bit_or(bit(k)), F.lit(0)).cast("bigint").alias(f"m{k}") for k in range(WORDS)]
+    return obs.groupBy("file", "epoch_idx", "sv").agg(F.count(F.when(is_present(), 1)).alias("n"), *masks)
+
+
 def epoch_counts(obs: DataFrame) -> DataFrame:
     """(file, epoch_idx, n_sats, n_obs): satellites in the epoch, and observations that are present."""
-    by_sat = obs.groupBy("file", "epoch_idx", "sv").agg(F.count(F.when(is_present(), 1)).alias("n"))
-    return by_sat.groupBy("file", "epoch_idx").agg(F.count("*").alias("n_sats"), F.sum("n").alias("n_obs"))
+    return by_satellite_and_epoch(obs).groupBy("file", "epoch_idx").agg(F.count("*").alias("n_sats"), F.sum("n").alias("n_obs"))
 
 
 def scan_summary(obs: DataFrame, epochs: DataFrame | None = None, sysobs: Column | None = None) -> DataFrame:
-    """A row a file. epochs(file): every record, for files with records that hold no observation."""
-    seen = epoch_counts(obs).groupBy("file").agg(F.count("*").alias("n"), F.max("n_obs").alias("maxobs"), F.max("n_sats").alias("maxsats"), F.sum("n_obs").alias("totobs"))
-    # one pass by satellite: distinct codes ever present as a set of bits, and epochs
-    by_epoch = obs.groupBy("file", "sv", "epoch_idx").agg(F.collect_set(F.when(is_present(), F.col("code_idx"))).alias("codes"))
-    by_sat = by_epoch.groupBy("file", "sv").agg(F.size(F.array_distinct(F.flatten(F.collect_set("codes")))).alias("codes"), F.count("*").alias("epochs"))
-    sats = by_sat.groupBy("file").agg(F.sum("codes").cast("bigint").alias("satobs"), F.max("epochs").alias("maxepochs"))
+    """A row a file. epochs(file): every record, for files with records that hold no observation.
+
+    Epochs and satellites are both summed up from the same rows by satellite and epoch.
+    """
+    base = by_satellite_and_epoch(obs)
+    by_epoch = base.groupBy("file", "epoch_idx").agg(F.count("*").alias("n_sats"), F.sum("n").alias("n_obs"))
+    seen = by_epoch.groupBy("file").agg(F.count("*").alias("n"), F.max("n_obs").alias("maxobs"), F.max("n_sats").alias("maxsats"), F.sum("n_obs").alias("totobs"))
+    by_sat = base.groupBy("file", "sv").agg(F.count("*").alias("epochs"), *[F.bit_or(f"m{k}").alias(f"m{k}") for k in range(WORDS)])
+    codes = sum(F.bit_count(f"m{k}") for k in range(WORDS))
+    sats = by_sat.groupBy("file").agg(F.sum(codes).cast("bigint").alias("satobs"), F.max("epochs").alias("maxepochs"))
     out = seen.join(sats, "file")
     out = out.withColumn("epochs", F.col("n")) if epochs is None else out.join(epochs.groupBy("file").agg(F.count("*").alias("epochs")), "file")
     return out.select("file", "epochs", "maxobs", "maxsats", (sysobs if sysobs is not None else F.lit(0)).alias("sysobs"), "satobs", "totobs", "maxepochs")
