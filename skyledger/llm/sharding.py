@@ -23,6 +23,8 @@ result. Columns beside those named are not read.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,7 +127,9 @@ def lay_out(free: DataFrame, start: list[int], shards: int, fair: float, scratch
         s = now.index(min(now))
         now[s] += r["bytes"]
         huge.append((*r, s))
-    placed = free.sparkSession.createDataFrame(huge, "g long, crc long, size long, unit int, bytes long, shard int")
+    kind = "array<struct<g:bigint,crc:bigint,size:bigint,unit:int,bytes:bigint,shard:int>>"
+    rows = F.from_json(F.lit(json.dumps([dict(zip(columns, map(int, x), strict=True)) for x in huge])), kind)
+    placed = free.sparkSession.range(1).select(F.inline(rows))
     free = free.where(F.col("bytes") <= fair / 16)
     n = free.count()
     buckets = max(16, n // 20_000)
