@@ -80,7 +80,7 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit_toxicity(sample: DataFrame, stands_for: dict[int, float], *, inputs: int = 1024, least: int = 3) -> FactorizationMachine | float:
+def fit_toxicity(sample: DataFrame, stands_for: dict[int, float], *, inputs: int = 1024, least: int = 3, least_z: float = 5.0) -> FactorizationMachine | float:
     """sample: (id, text, label), of bounded size. A number is the score of every text."""
     if len(stands_for) < 2:
         return float(max(stands_for, default=0))
@@ -106,7 +106,7 @@ def fit_toxicity(sample: DataFrame, stands_for: dict[int, float], *, inputs: int
         return float(n1 > 0)
     share = seen / n
     z = (seen1 / n1 - (seen - seen1) / (n - n1)) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / (n - n1)))
-    z[seen < least] = 0
+    z[(seen < least) | (np.abs(z) < least_z)] = 0  # else it is chance
     chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:inputs])
     chosen = chosen[z[chosen] != 0]
     place = np.full(SPACE, -1, np.int32)
