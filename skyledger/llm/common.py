@@ -76,14 +76,17 @@ def bounded_sample(df: DataFrame, class_col: str, id_col: str, per_class: int, m
     return df.where(keep)
 
 
+ROWS = 1000
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function made once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
+            for start in range(0, batch.num_rows, ROWS):  # small pieces, so that results stay small too
+                yield f(batch.slice(start, ROWS))
 
     return df.mapInArrow(run, schema)
 

@@ -295,19 +295,10 @@ def similar_edges(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     sets = scratch.save(map_rows(texts, make, "id long, h array<long>"), "sets")
     a, b = sets.select(F.col("id").alias("u"), F.col("h").alias("a")), sets.select(F.col("id").alias("v"), F.col("h").alias("b"))
 
-    def judge():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for x, y in zip(batch["a"], batch["b"], strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                either = len(x) + len(y) - both
-                keep.append(either == 0 or both >= least * either)
-            return pa.record_batch({"u": batch["u"], "v": batch["v"]}).filter(pa.array(keep, pa.bool_()))
-
-        return f
-
-    return map_rows(edges.join(a.hint("merge"), "u").join(b.hint("merge"), "v").select("u", "v", "a", "b"), judge, "u long, v long")
+    both = F.size(F.array_intersect("a", "b"))
+    either = F.size("a") + F.size("b") - both
+    pairs = edges.join(a.hint("merge"), "u").join(b.hint("merge"), "v")
+    return pairs.where((either == 0) | (both >= least * either)).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, radius: int = 3, guard: int | None = None, similarity: float | None = None, block: int = 2048) -> DataFrame:
