@@ -1,6 +1,7 @@
-"""Command line: python -m skyledger.cli scan|maxima|counts|analyze [-v] FILE...
+"""Command line: python -m skyledger.cli scan|maxima|counts|analyze|pack|unpack [-v] [--out DIR] FILE...
 
-Each command prints CSV for files, folders or globs; `-` reads one file from standard input.
+The first four print CSV for files, folders or globs; `-` reads one file from standard input. pack
+writes binary stores to the folder --out, unpack writes their text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import analytics as an
 from skyledger.session import local_session
-from skyledger.sources import text
+from skyledger.sources import convert, text
 
 
 def scan(got: text.Reading, verbose: bool) -> list[DataFrame]:
@@ -49,16 +50,21 @@ COMMANDS = {"scan": scan, "maxima": maxima, "counts": counts, "analyze": analyze
 
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="skyledger")
-    p.add_argument("command", choices=COMMANDS)
+    p.add_argument("command", choices=[*COMMANDS, "pack", "unpack"])
     p.add_argument("-v", "--verbose", action="store_true")
     p.add_argument("--out", help="folder for CSV parts instead of standard output")
     p.add_argument("files", nargs="+")
     a = p.parse_args(args)
     spark = local_session()
+    if a.command == "unpack":
+        text.write_text(convert.unpack(spark, a.files[0]), a.out)
+        return 0
     files = spark.createDataFrame([("-", sys.stdin.read())], "file string, content string") if a.files == ["-"] else text.read_files(spark, *a.files)
     recs = text.records(files).persist()
     got = text.Reading(recs)
-    for k, df in enumerate(COMMANDS[a.command](got, a.verbose)):
+    if a.command == "pack":
+        print(convert.pack(got, a.out))
+    for k, df in enumerate([] if a.command == "pack" else COMMANDS[a.command](got, a.verbose)):
         if a.out:
             df.write.mode("overwrite").option("header", True).csv(f"{a.out}/{a.command}-{k}")
         else:

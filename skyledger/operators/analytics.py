@@ -225,3 +225,9 @@ def used_versus_expected(obs: DataFrame, counts: DataFrame) -> DataFrame:
     """Signals whose number of values differs from counts(file, sv, code, expected)."""
     used = obs.groupBy(*SIGNAL).agg(F.count(F.when(is_present(), 1)).alias("used"))
     return counts.join(used, SIGNAL, "left").withColumn("used", F.coalesce("used", F.lit(0))).where("used <> expected")
+
+
+def per_file(rows: DataFrame, use, schema: str) -> DataFrame:
+    """use(pandas frame of a file's rows, in the order of epochs) -> pandas frame: for folds that no
+    expression says. A file's rows are one task's."""
+    return rows.groupBy("file").applyInPandas(lambda part: use(part.sort_values([c for c in ("epoch_idx", "sv", "code_idx") if c in part])), schema)
