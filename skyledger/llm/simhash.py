@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.common import Scratch, map_rows, near, text_bytes
 from skyledger.llm.components import connected_components
+from skyledger.llm.jaccard import shingle_hashes, similar_classes
 
-BITS, SEED = 64, 42
+BITS = 64
 
 
 #: Odd multipliers that turn a shingle's hash into independent ones, for the guard words.
@@ -47,15 +48,6 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
-    import xxhash
-
-    words = text.lower().split() if text else []  # bytes.lower() and split() know ASCII only
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    shingles = [join(words)] * bool(words) if len(words) <= size else map(join, zip(*(words[i:] for i in range(size)), strict=False))
-    return np.array([digest(x, SEED) for x in shingles], np.uint64)
-
-
 def fingerprint(text: bytes | None, size: int, guards: bool = False) -> list[int]:
     """The fingerprint, and behind it the guard words if asked for."""
     h = shingle_hashes(text, size)
@@ -275,39 +267,11 @@ def verify(groups: DataFrame, keys: list[str], link: Near, small: int = 48) -> D
     return groups.repartition(*keys).sortWithinPartitions(*keys).select(*names).mapInArrow(run, "u long, v long")
 
 
-def similar_edges(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, least: float, scratch: Scratch) -> DataFrame:
-    """The edges (u, v) whose texts' sets of shingles have a Jaccard similarity of at least `least`.
-
-    Only documents with an edge are read again; a document's set goes to each of its edges, of which
-    the groups leave few. Of rows of one id the smallest text counts.
-    """
-    edges = scratch.save(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    ends = scratch.save(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ends")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(near(ends), "id").groupBy("id").agg(F.min("text").alias("text"))
-
-    def make():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in text_bytes(batch["text"])]
-            return pa.record_batch({"id": batch["id"], "h": pa.array(sets, pa.list_(pa.int64()))})
-
-        return f
-
-    sets = scratch.save(map_rows(texts, make, "id long, h array<long>"), "sets")
-    a, b = sets.select(F.col("id").alias("u"), F.col("h").alias("a")), sets.select(F.col("id").alias("v"), F.col("h").alias("b"))
-
-    both = F.size(F.array_intersect("a", "b"))
-    either = F.size("a") + F.size("b") - both
-    pairs = edges.join(a.hint("merge"), "u").join(b.hint("merge"), "v")
-    return pairs.where((either == 0) | (both >= least * either)).select("u", "v")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, radius: int = 3, guard: int | None = None, similarity: float | None = None, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, radius: int = 3, guard: int | None = None, block: int = 2048) -> DataFrame:
     """(id, fp, component_id), a row for each input row.
 
     guard: beside the radius, at most so many of 256 bits may differ: those of the fingerprint and of
     three more made from the same shingles. It keeps a wide radius from linking what is not alike.
-    similarity: links also need this Jaccard similarity of the texts' shingles, which is worked out
-    for the edges that bind a group.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     words = ["fp", *(GUARDS if guard is not None else ())]
@@ -327,8 +291,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     met = sigs.join(hot, ["probe", "sig"], "left").select("probe", "sig", "id", *words, F.explode(meets).alias("m")).select("probe", "sig", "m.a", "m.b", "id", *words)
     edges = verify(met, ["probe", "sig", "a", "b"], Near(radius, guard))
-    if similarity is not None:
-        edges = similar_edges(edges, docs, id_col, text_col, shingle, similarity, scratch)
     found = connected_components(edges, scratch)
     classes = every.join(found, every["id"] == found["node"], "left").select(*[every[w] for w in words], F.coalesce("component", "id").alias("component_id"))
     return fps.join(classes, words).select("id", "fp", "component_id")
@@ -342,16 +304,22 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the document of the smallest id stays.
 
-    Shingles have five words, and links a Jaccard similarity of 0.8. This leaves about 15 percent of
-    the bits different, with much spread over 64 bits; so the radius is 10 of 64, with a guard of 50
-    of 256 bits before texts are compared. Rows without id have no group and stay.
+    Shingles have five words, and links a Jaccard similarity of 0.8, exactly (see jaccard.py): all
+    pairs at 0.8 and more are joined, and none below. Rows are told apart by id and text, so that a
+    repeated id loses only rows that have a partner; of equal rows one stays. Rows without id have no
+    group and stay.
     """
     scratch = Scratch(spark, "dedup")
-    found = scratch.save(near_duplicates(docs, shingle=5, radius=10, guard=50, similarity=0.8, block=16384), "classes")
-    dropped = scratch.save(found.where("id <> component_id").select(F.col("id").alias("_drop")).distinct(), "dropped")
-    kept = docs.join(near(dropped), docs["doc_id"] == F.col("_drop"), "left_anti")
-    repeated = scratch.save(found.where("id = component_id").groupBy(F.col("id").alias("_again")).count().where("count > 1").select("_again"), "repeated")
+    found = scratch.save(similar_classes(docs, "doc_id", "text", size=5, least=0.8), "classes")
+    row = F.struct("id", "text_hash")
+    best = found.groupBy("component").agg(F.min(row).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best")
+    grouped = scratch.save(found.join(best, "component").select("id", "text_hash", (row == F.col("best")).alias("stays")), "grouped")
+    key = [F.col("id").alias("_id"), F.col("text_hash").alias("_text")]
+    dropped = scratch.save(grouped.where("not stays").select(*key).distinct(), "dropped")
+    repeated = scratch.save(grouped.where("stays").groupBy(*key).count().where("count > 1").select("_id", "_text"), "repeated")
+    is_row = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text"))
+    kept = docs.join(near(dropped), is_row, "left_anti")
     if repeated.isEmpty():
         return kept
-    again = kept.join(near(repeated), kept["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(near(repeated), kept["doc_id"] == F.col("_again"), "left_anti").unionByName(again)
+    again = kept.join(near(repeated), is_row, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(near(repeated), is_row, "left_anti").unionByName(again)
