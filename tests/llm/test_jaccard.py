@@ -63,3 +63,13 @@ def test_similar_classes_by_stars(spark, small, stars):
     of = brute_classes(texts)
     got = {r["id"]: r["component"] for r in jaccard.similar_classes(spark.createDataFrame(list(enumerate(texts)), ROW), "doc_id", "text", small=small, stars=stars).collect()}
     assert all((got[i] == got[j]) == (of[i] == of[j]) for i in range(len(texts)) for j in range(i))
+
+
+def test_dedup_stage_finds_all_pairs_just_over_the_bound(spark):
+    rng, rows = np.random.default_rng(5), []
+    for k in range(150):
+        words = [f"p{k}w{j}" for j in range(204)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed(rng, words, 4)))]
+    of = brute_classes([t for _, t in rows[:20]])
+    assert of == [i - i % 2 for i in range(20)]
+    assert [i for i, _ in kept(spark, rows)] == list(range(0, 300, 2))
