@@ -73,3 +73,9 @@ def test_dedup_stage_finds_all_pairs_just_over_the_bound(spark):
     of = brute_classes([t for _, t in rows[:20]])
     assert of == [i - i % 2 for i in range(20)]
     assert [i for i, _ in kept(spark, rows)] == list(range(0, 300, 2))
+
+
+def test_dedup_stage_keeps_texts_of_equal_frequent_lines(spark):
+    line = " ".join(f"line{j}" for j in range(9))
+    rows = [(k, " ".join([line] * 20 + [f"own{k}x{j}" for j in range(20)])) for k in range(30)]
+    assert kept(spark, rows) == rows
