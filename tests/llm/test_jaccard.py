@@ -79,3 +79,8 @@ def test_dedup_stage_keeps_texts_of_equal_frequent_lines(spark):
     line = " ".join(f"line{j}" for j in range(9))
     rows = [(k, " ".join([line] * 20 + [f"own{k}x{j}" for j in range(20)])) for k in range(30)]
     assert kept(spark, rows) == rows
+
+
+def test_dedup_stage_drops_rows_not_ids(spark):
+    a, b, c = (" ".join(f"{x}{j}" for j in range(60)) for x in "abc")
+    assert kept(spark, [(1, a), (1, b), (2, a), (2, c), (1, a), (3, b)]) == [(1, a), (1, b), (2, c)]
