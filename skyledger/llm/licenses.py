@@ -82,16 +82,18 @@ def rules() -> list[tuple[str, str, int, str]]:
         ("blue", f"blue oak model {LICENSE}", "blueoak", ("1 0 0",)),
         ("mulan", f"mulan p(?:ermissive software|sl) {LICENSE}", "mulanpsl", ("1", "2")),
         ("cecill", f"cecill(?: free software)? {LICENSE}", "cecill", ("1 1", "2 0", "2 1")),
-        ("upl", f"universal permissive {LICENSE}", "upl", ("1 0",)),
+        ("universal", f"universal permissive {LICENSE}", "upl", ("1 0",)),
         ("ibm", f"ibm public {LICENSE}", "ipl", ("1 0",)),
         ("netscape", f"netscape public {LICENSE}", "npl", ("1 0", "1 1")),
         ("sun", f"sun (?:public|industry standards source) {LICENSE}", "sun", ("1 0",)),
-        ("qt", f"q public {LICENSE}", "qpl", ("1 0",)),
+        ("q", f"q public {LICENSE}", "qpl", ("1 0",)),
         ("ntp", f"ntp {LICENSE}", "ntp", ()),
         ("postgresql", f"postgresql {LICENSE}", "postgresql", ()),
         ("vim", f"vim {LICENSE}", "vim", ()),
-        ("beerware", f"beer ?ware {LICENSE}", "beerware", ()),
-        ("wtfpl", "(?:wtfpl|do what the f\\S+ you want to public licen[sc]e)", "wtfpl", ()),
+        ("beerware", f"beerware {LICENSE}", "beerware", ()),
+        ("beer", f"beer ware {LICENSE}", "beerware", ()),
+        ("wtfpl", "wtfpl", "wtfpl", ()),
+        ("want", "do what the f\\S+ you want to public licen[sc]e", "wtfpl", ()),
     ):
         for v in versions:
             number = v if not v.endswith(" 0") else v[:-2] + "(?: 0)?"
@@ -117,7 +119,8 @@ def rules() -> list[tuple[str, str, int, str]]:
         add("bsd", 3, f"bsd-{n}-clause", f"bsd (?:{n}|{words}) clause(?: {LICENSE})?", f"(?:{n}|{words}) clause bsd(?: {LICENSE})?")
     add("bsd", 2, "bsd", f"bsd(?: style)? {LICENSE}", "bsd licensed")
     add("redistribution", 2, "bsd", "redistribution and use in source and binary forms with or without modification are permitted")
-    add("mit", 2, "mit", f"(?:the )?(?:expat|mit x11|mit) {LICENSE}", "mit licensed")
+    add("mit", 2, "mit", f"(?:the )?(?:mit x11|mit) {LICENSE}", "mit licensed")
+    add("expat", 2, "mit", f"(?:the )?expat {LICENSE}")
     add("permission", 2, "mit", "permission is hereby granted free of charge to any person obtaining a copy")
     add("permission", 2, "isc", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted")
     add("permission", 1, "permissive", "permission is (?:hereby )?granted")
@@ -127,13 +130,16 @@ def rules() -> list[tuple[str, str, int, str]]:
     add("free", 1, "free-software", "this (?:program|library|work) is free software", "free software foundation")
     add("proprietary", 1, "proprietary", "proprietary and confidential", f"proprietary {LICENSE}", "proprietary software")
     add("reserved", 1, "all-rights-reserved", "all rights reserved")
-    add("copyright", 0, "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", "copyrighted by", "copyright notice")
-    add("commercial", 1, "non-commercial", "(?:for )?non ?commercial use only", "not for commercial use", "no commercial use")
+    add("copyright", 0, "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright notice")
+    add("copyrighted", 0, "copyright", "copyrighted by")
+    add("commercial", 1, "non-commercial", "(?:for )?non commercial use only", "not for commercial use", "no commercial use")
+    add("noncommercial", 1, "non-commercial", "(?:for )?noncommercial use only")
     add("commercial", 1, "commercial", f"commercial {LICENSE}")
     add("redistribute", 0, "notice", "you (?:can|may) redistribute it and(?: or)? modify it", "may not redistribute")
     add("warranty", 0, "warranty", "without (?:any )?warranty of any kind", "as is without warranty", "no warranty")
     add("spdx", 3, "spdx", "spdx licen[sc]e identifier \\S+")
-    add("eula", 1, "eula", "end user licen[sc]e agreement", "eula")
+    add("eula", 1, "eula", "eula")
+    add("agreement", 1, "eula", "end user licen[sc]e agreement")
     for verb in ("licensed", "released", "distributed", "published", "available", "provided"):
         add(verb, 0, "notice", f"{verb} under (?:the )?(?:terms|conditions) of", f"{verb} under an? \\S+ {LICENSE}", f"{verb} under the \\S+ {LICENSE}")
     return out
