@@ -78,8 +78,9 @@ class Block:
             about = self.q[part] @ middles.T
             slack = self.slack[part] + self.error
             floor = self.floor[part]
-            if len(ids) > self.k:  # one more than k, as a query may meet itself
-                floor = np.maximum(floor, np.partition(about, len(ids) - self.k - 1, axis=1)[:, len(ids) - self.k - 1] - slack)
+            if 0 < self.k <= len(ids):
+                others = np.where(ids[None, :] == self.ids[part, None], -np.inf, about)  # a query's own rows are no candidates
+                floor = np.maximum(floor, np.partition(others, len(ids) - self.k, axis=1)[:, len(ids) - self.k] - slack)
             maybe = about + slack[:, None] >= floor[:, None]
             for j in np.flatnonzero(maybe.any(1)):
                 self.refine(start + j, np.flatnonzero(maybe[j]), about[j] + slack[j], ids, x)
