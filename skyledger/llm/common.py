@@ -2,46 +2,74 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The 26 letters that the contracts lower-case, and no others.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir. Where none is set, a temporary one serves a local master;
+    on a cluster that would be another folder for each machine, so it is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skyledger-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _delete(jvm, conf, path: str) -> None:
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
+    """Tables written to the shared folder: they cut lineage and survive lost executors.
+
+    Tables that a result still reads stay until the driver's program ends; the others are dropped as
+    soon as they are not needed.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+        jvm, conf, base = spark._jvm, spark._jsc.hadoopConfiguration(), self.base
+
+        def at_end() -> None:
+            with contextlib.suppress(Exception):  # the engine may be gone by then
+                _delete(jvm, conf, base)
+
+        atexit.register(at_end)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        at.getFileSystem(conf).delete(at, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.names.discard(name)
+            _delete(self.spark._jvm, self.spark._jsc.hadoopConfiguration(), self.path(name))
+
+    def keep_only(self, *names: str) -> None:
+        self.drop(*(self.names - set(names)))
 
 
 #: Tables of single ids are broadcast up to so many rows, about 8 MB; beyond, they are joined.
@@ -58,28 +86,51 @@ def id_bucket(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def bounded_sample(df: DataFrame, class_col: str, id_col: str, per_class: int, max_classes: int = 256) -> DataFrame:
-    """About per_class rows of each class, drawn by a hash of the id and so the same in any run.
+def bounded_sample(df: DataFrame, class_col: str, key_cols: list[str], per_class: int, *, most_rows: int = 100_000) -> DataFrame:
+    """About per_class different rows of each class that is not null, and never more; classes of any number.
 
-    Classes beyond the max_classes most frequent ones are left out; the result's expected size is
-    per_class * max_classes rows at most, whatever the input.
+    Rows are told apart by a hash of key_cols, so that rows without id, or many rows of one id, are
+    drawn like any others; of equal rows one is drawn. The draw is the same in any run. The result has
+    most_rows rows at most: with many classes, each gives an equal share of that, one row at least;
+    of more than most_rows classes those of the smallest hashes are kept.
     """
-    counts = df.where(F.col(class_col).isNotNull()).groupBy(class_col).count()
-    counts = counts.orderBy(F.desc("count"), class_col).limit(max_classes).collect()
-    if not counts:
-        return df.limit(0)
+    names = spare(df.columns, "h", "n", "place", "class")
+    h, n, place, of = names
+    rows = df.where(F.col(class_col).isNotNull()).withColumn(h, F.xxhash64(*key_cols, F.lit(17)))
+    counts = rows.groupBy(F.col(class_col).alias(of)).agg(F.approx_count_distinct(h, 0.02).alias(n))
+    counts = Scratch(df.sparkSession, "sample").save(counts, "counts")
+    classes = counts.count()
+    per = max(1, min(per_class, most_rows // max(classes, 1)))
+    if classes > most_rows:
+        counts = counts.orderBy(F.xxhash64(of)).limit(most_rows)
+    # Twice as many as wanted pass the hash; the window's limit by task and group then cuts exactly.
     scale = 1 << 30
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(scale))
-    keep = F.lit(False)
-    for value, n in counts:
-        keep = keep | ((F.col(class_col) == F.lit(value)) & (u < int(scale * min(1.0, per_class / n))))
-    return df.where(keep)
+    drawn = rows.join(near(counts), rows[class_col] == counts[of]).where(F.pmod(F.col(h), F.lit(scale)) < F.lit(2.0 * per * scale) / F.col(n))
+    drawn = drawn.withColumn(place, F.row_number().over(W.partitionBy(of, h).orderBy(h))).where(F.col(place) == 1)
+    drawn = drawn.withColumn(place, F.row_number().over(W.partitionBy(of).orderBy(F.pmod(F.col(h), F.lit(scale)), h))).where(F.col(place) <= per)
+    return drawn.select(*df.columns)
+
+
+def spare(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that are not among those taken, in any case."""
+    low, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name in low:
+            name += "_"
+        low.add(name)
+        out.append(name)
+    return out
+
+
+def whole_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All of docs in one column `row`, beside the columns given; so no name can clash."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
 
 
 ROWS = 1000
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function made once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +142,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return df.mapInArrow(run, schema)
 
 
+def with_columns(rows: DataFrame, added: str, *, without: str) -> StructType:
+    """The schema of rows, less one column, and the added ones (as DDL)."""
+    kept = StructType([f for f in rows.schema if f.name != without])
+    return StructType(kept.fields + StructType.fromDDL(added).fields)
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()

@@ -88,6 +88,11 @@ def prefixes(rows: DataFrame, size: int, least: float, late: np.ndarray) -> Data
     return map_rows(rows.select("id", F.xxhash64("text").alias("text_hash"), "text"), make, "id long, text_hash long, node long, size int, " + ", ".join(f"{b} long" for b in PARITIES) + ", prefix array<long>")
 
 
+def row_id(c: Column) -> Column:
+    """The id as a long; rows without one come after all others."""
+    return F.coalesce(c.cast("long"), F.lit((1 << 63) - 1))
+
+
 def could_pass(least: float) -> Column:
     """Over candidates a and b that meet by a shingle: the positional and the parity filter."""
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
@@ -121,9 +126,13 @@ def passing(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, leas
 
 
 def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, size: int = 5, least: float = 0.8, small: int = 48, stars: int = 3) -> DataFrame:
-    """(id, text_hash, component), a row for each row with an id; text_hash is xxhash64 of the text."""
+    """(id, text_hash, component), a row for each row; text_hash is xxhash64 of the text, id as row_id has it.
+
+    small and stars only choose how pairs are met, not which: whatever they are, no pair whose ends are
+    not in one component by then stays untested.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    rows = docs.select(row_id(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
     found = scratch.save(prefixes(rows, size, least, frequent(rows, size)), "prefixes")
     nodes = scratch.save(found.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("row")).select("node", "row.*"), "nodes")
     first = found.join(near(nodes.select(F.col("id").alias("_id"), F.col("text_hash").alias("_text"))), (F.col("id") == F.col("_id")) & (F.col("text_hash") == F.col("_text")), "left_semi").drop("id", "text_hash")
@@ -160,5 +169,6 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, size: int =
         pairs = all_pairs(known, apart) if k == stars else all_pairs(known.where(F.col("n") <= small), apart).union(star(known.where(F.col("n") > small), k))
         edges = edges.union(passing(pairs, nodes, rows, size, least, scratch, str(k)))
         left = known.where(F.col("n") > small).drop("component")
-    of = of.withColumnRenamed("node", "_node")
+    of = scratch.save(of.withColumnRenamed("node", "_node"), "components")
+    scratch.keep_only("prefixes", "components")
     return found.join(of, found["node"] == of["_node"], "left").select("id", "text_hash", F.coalesce("component", "node").alias("component"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import bounded_sample, id_bucket, map_rows, text_bytes
+from skyledger.llm.common import bounded_sample, id_bucket, map_rows, text_bytes, whole_rows, with_columns
 
 DIMS = 4096
 UNKNOWN = "und"
@@ -87,23 +87,23 @@ class LanguageModel:
 
 
 def fit_language_id(docs: DataFrame, text_col: str, lang_col: str, id_col: str, *, per_language: int = 400, centroids: int = 4, slack: float = 0.5) -> LanguageModel | None:
-    """Fits on about per_language rows of each language, at most 256 languages, of the rows given."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sample = bounded_sample(rows, "lang", "id", per_language)
+    """Fits on at most per_language different rows of each language; the sample has 100,000 rows at most."""
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    sample = bounded_sample(rows, "lang", ["id", "text"], per_language)
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             kept = [trigram_counts(t) for t in text_bytes(batch["text"])]
             at = [np.flatnonzero(c) for c in kept]
             return pa.record_batch({
-                "id": batch["id"].cast(pa.string()), "lang": batch["lang"],
+                "id": batch["id"], "lang": batch["lang"],
                 "at": pa.array([x.astype(np.int32) for x in at], pa.list_(pa.int32())),
                 "n": pa.array([c[x].astype(np.int32) for c, x in zip(kept, at, strict=True)], pa.list_(pa.int32())),
             })
 
         return f
 
-    got = sorted(map_rows(sample, make, "id string, lang string, at array<int>, n array<int>").collect(), key=lambda r: (r["lang"], r["id"] or "", len(r["at"])))
+    got = sorted(map_rows(sample, make, "id string, lang string, at array<int>, n array<int>").collect(), key=lambda r: (r["lang"], r["id"] or "", r["at"], r["n"]))
     counts = np.zeros((len(got), DIMS), np.int32)
     for row, r in zip(counts, got, strict=True):
         row[r["at"]] = r["n"]
@@ -112,9 +112,13 @@ def fit_language_id(docs: DataFrame, text_col: str, lang_col: str, id_col: str,
 
 def identify_language(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
     """keep: input columns to carry, by the name they get. Adds lang_pred, score and rejected."""
-    keep = keep or {}
-    rows = docs.select(*[F.col(c).alias(name) for c, name in keep.items()], F.col(text_col).alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"] + ["lang_pred string", "score double", "rejected boolean"])
+    rows = docs.select(*[F.col(c).alias(name) for c, name in (keep or {}).items()], F.col(text_col).alias("_text"))
+    return predicted(rows, model)
+
+
+def predicted(rows: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """rows with lang_pred, score and rejected in place of `_text`."""
+    carried = [c for c in rows.columns if c != "_text"]
 
     def make():
         import regex
@@ -122,7 +126,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, text_col: st
         letter = regex.compile(r"\p{L}").search
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            names, scores, rejected = [], [], []
+            names, scores, rejected = [], [np.zeros(0)], [np.zeros(0, bool)]
             for start in range(0, batch.num_rows, 512):
                 texts = text_bytes(batch["_text"].slice(start, 512))
                 known = [model is not None and t is not None and letter(t.decode("utf-8", "replace")) is not None for t in texts]
@@ -135,12 +139,12 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, text_col: st
                 names += name
                 scores.append(score)
                 rejected.append(out)
-            cols = {c: batch[c] for c in keep.values()}
+            cols = {c: batch[c] for c in carried}
             return pa.record_batch(cols | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(np.concatenate(scores)), "rejected": pa.array(np.concatenate(rejected))})
 
         return f
 
-    return map_rows(rows, make, schema)
+    return map_rows(rows, make, with_columns(rows, "lang_pred string, score double, rejected boolean", without="_text"))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
@@ -150,8 +154,13 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
+    """Pipeline stage: documents that the classifier rejects go.
+
+    Null texts and texts without a letter are rejected. If nothing can be learned, there is no
+    classifier to reject anything, and all rows stay. Rows without id, and repeated rows, are judged
+    like any others. All columns are carried, whatever their names.
+    """
     model = fit_language_id(docs.where(id_bucket("doc_id", 4) != 2), "text", "lang", "doc_id")
-    names = {c: c if c not in ("lang_pred", "score", "rejected") else f"_in_{c}" for c in docs.columns}
-    kept = identify_language(docs.withColumn("_copy", F.col("text")), model, "_copy", names).where(~F.col("rejected"))
-    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
+    if model is None:
+        return docs
+    return predicted(whole_rows(docs, _text=F.col("text")), model).where(~F.col("rejected")).select("row.*")

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import Scratch, map_rows, near, text_bytes
+from skyledger.llm.common import Scratch, map_rows, near, text_bytes, whole_rows
 from skyledger.llm.components import connected_components
-from skyledger.llm.jaccard import shingle_hashes, similar_classes
+from skyledger.llm.jaccard import row_id, shingle_hashes, similar_classes
 
 BITS = 64
 
@@ -306,20 +306,23 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Shingles have five words, and links a Jaccard similarity of 0.8, exactly (see jaccard.py): all
     pairs at 0.8 and more are joined, and none below. Rows are told apart by id and text, so that a
-    repeated id loses only rows that have a partner; of equal rows one stays. Rows without id have no
-    group and stay.
+    repeated id loses only rows that have a partner; of equal rows one stays. Rows without id are
+    grouped like others and stay only where no partner has an id. Null texts, empty texts and texts
+    of blanks are alike and form one group. All columns are carried, whatever their names.
     """
     scratch = Scratch(spark, "dedup")
     found = scratch.save(similar_classes(docs, "doc_id", "text", size=5, least=0.8), "classes")
     row = F.struct("id", "text_hash")
     best = found.groupBy("component").agg(F.min(row).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best")
     grouped = scratch.save(found.join(best, "component").select("id", "text_hash", (row == F.col("best")).alias("stays")), "grouped")
-    key = [F.col("id").alias("_id"), F.col("text_hash").alias("_text")]
+    key = [F.col("id").alias("drop_id"), F.col("text_hash").alias("drop_text")]
     dropped = scratch.save(grouped.where("not stays").select(*key).distinct(), "dropped")
-    repeated = scratch.save(grouped.where("stays").groupBy(*key).count().where("count > 1").select("_id", "_text"), "repeated")
-    is_row = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text"))
-    kept = docs.join(near(dropped), is_row, "left_anti")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(near(repeated), is_row, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(near(repeated), is_row, "left_anti").unionByName(again)
+    repeated = scratch.save(grouped.where("stays").groupBy(*key).count().where("count > 1").select("drop_id", "drop_text"), "repeated")
+    scratch.keep_only("dropped", "repeated")
+    rows = whole_rows(docs, of_id=row_id(F.col("doc_id")), of_text=F.xxhash64("text"))
+    is_row = (F.col("of_id") == F.col("drop_id")) & (F.col("of_text") == F.col("drop_text"))
+    kept = rows.join(near(dropped), is_row, "left_anti")
+    if not repeated.isEmpty():
+        again = kept.join(near(repeated), is_row, "left_semi").dropDuplicates(["of_id", "of_text"])
+        kept = kept.join(near(repeated), is_row, "left_anti").unionByName(again)
+    return kept.select("row.*")

@@ -237,8 +237,8 @@ def test_decontamination_against_brute_force(spark, max_words):
     draw = lambda n: " ".join(rng.choice(words, n))
     items = [(k, draw(int(rng.integers(0, 14)))) for k in range(14)] + [(20, None), (21, "w1 W2"), (21, "w3, w3; w3")]
     docs = [(k, draw(int(rng.integers(0, 300)))) for k in range(12)] + [(12, None), (13, ""), (14, "W1--W2")]
-    automata = decontaminate.build_automata(spark.createDataFrame(items, "item_id long, text string"), max_words=max_words)
-    got = {r["doc_id"]: r for r in decontaminate.scan_documents(spark.createDataFrame(docs, "doc_id long, text string"), automata, "text", {"doc_id": "doc_id"}, min_span=1).collect()}
+    benchmark = decontaminate.Items(spark.createDataFrame(items, "item_id long, text string"), max_words=max_words)
+    got = {r["doc_id"]: r for r in decontaminate.scan_documents(spark.createDataFrame(docs, "doc_id long, text string"), benchmark, "text", {"doc_id": "doc_id"}, min_span=1).collect()}
     for i, t in docs:
         n, hit, named = brute_contamination(items, t)
         r = got[i]
