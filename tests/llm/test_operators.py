@@ -277,7 +277,7 @@ def test_top_k_in_blocks_and_small(spark):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 1, 8)]) for i in range(300)], "vec_id long, embedding array<float>")
     whole = vafile.top_k(df, F.col("vec_id") % 3 == 0).collect()
-    assert sorted(map(tuple, vafile.top_k(df, F.col("vec_id") % 3 == 0, block_size=20).collect())) == sorted(map(tuple, whole))
+    assert sorted(map(tuple, vafile.top_k(df, F.col("vec_id") % 3 == 0, pass_bytes=1300).collect())) == sorted(map(tuple, whole))
     few = vafile.top_k(df.limit(0).unionByName(df.where("vec_id in (0, 1, 2)")), F.col("vec_id") == 0).collect()
     assert len(few) == 2
     assert vafile.top_k(df.limit(0), F.col("vec_id") % 3 == 0).count() == 0
