@@ -7,8 +7,12 @@ closed form: the targets are min(cap, level * weight), for the one level at whic
 A document is taken once for each complete epoch of its source. The rest of the target is filled by
 weighted sampling without replacement: key -ln(u) / weight, smallest keys first, up to the token
 budget; u comes from a hash of the id, so reruns agree. The last document is taken if at least half
-of it fits. The cut is found without sorting a source: sizes are summed by key bucket, and only the
-bucket in which the budget ends is sorted. Then a document needs no more than its source's cut.
+of it fits. The cut is found without sorting a source: sizes are summed by the leading bits of the key,
+ten more in each round, until the bucket in which the budget ends is small for every source, whatever
+the weights; only that one is sorted. Then a document needs no more than its source's cut.
+
+The weight is a document's quality: how near the mean length of its words is to five characters, times
+the share of its characters that are not digits or punctuation, each between 0.1 and 1.
 
 Cases: null text has size 0 and is never missed or counted; a null source is a source; null ids are
 hashed as empty text; repeated rows share key and fate; an empty table gives an empty result; a
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import Scratch
+from skyledger.llm.common import Scratch, whole_rows
 
 WEIGHTS = (3, 1, 2)
 #: Up to so many sources, about 2 MB, their table is broadcast; else it is joined by key.
@@ -32,21 +36,53 @@ def word_count(text_col: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+#: What is not counted as a letter or blank, for the quality weight.
+MARKS = "0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~"
+
+
 def quality_weight(text_col: str, size: Column) -> Column:
-    """1, or a quarter for texts whose words are on average shorter than 3 or longer than 12 characters."""
-    mean = F.length(text_col) / F.greatest(size, F.lit(1)) - 1
-    return F.when(mean.between(3, 12), 1.0).otherwise(0.25)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    length = F.length(text)
+    mean = length / F.greatest(size, F.lit(1)) - 1
+    letters = F.length(F.translate(text, MARKS, "")) / F.greatest(length, F.lit(1))
+    bounded = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.1), x))
+    return bounded(1 - F.abs(mean - 5) / 10) * bounded(letters * 2 - F.lit(0.8))
 
 
 def sampling_columns(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """Adds _id, _source (never null), _size and _key."""
+    """(row, _id, _source, _size, _key) with the whole row in one column; _source is never null."""
     u = (F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
-    out = docs.withColumn("_size", word_count(text_col))
-    return out.withColumns({
-        "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-        "_source": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")),
-        "_key": -F.log(u) / quality_weight(text_col, F.col("_size")),
-    })
+    size = word_count(text_col)
+    return whole_rows(
+        docs, _id=F.coalesce(F.col(id_col).cast("string"), F.lit("")), _source=F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")),
+        _size=size, _key=-F.log(u) / quality_weight(text_col, size),
+    )
+
+
+#: Keys are cut to so many bits of key / (1 + key), which keeps their order; a round looks at STEP more.
+BITS, STEP, SMALL = 50, 10, 20_000
+
+
+def leading(level) -> Column:
+    """The leading bits of the key; level is the number of rounds."""
+    bits = F.floor(F.col("_key") / (1 + F.col("_key")) * float(1 << BITS)).cast("long")
+    return F.floor(bits / F.pow(F.lit(2.0), BITS - STEP * level)).cast("long")
+
+
+def end_buckets(slim: DataFrame, sources: DataFrame, near, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(_source, end): for each source with a budget the bucket of leading bits in which it ends, with
+    the size before it; and the number of rounds."""
+    state = sources.where("budget > 0").select("_source", "budget", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("before"))
+    for level in range(1, BITS // STEP + 1):
+        rows = slim.join(near(state), "_source").where(leading(level - 1) == F.col("at"))
+        sums = rows.groupBy("_source", leading(level).alias("bucket")).agg(F.sum("_size").alias("size"), F.count("*").alias("n"), F.first("budget").alias("budget"), F.first("before").alias("before"))
+        upto = F.col("before") + F.sum("size").over(W.partitionBy("_source").orderBy("bucket"))
+        ends = sums.withColumn("upto", upto).where("upto >= budget").groupBy("_source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before"), "budget", "n")).alias("end"))
+        ends = scratch.save(ends, f"ends-{level}")
+        if (ends.agg(F.max("end.n")).first()[0] or 0) <= SMALL:
+            break
+        state = ends.select("_source", "end.budget", F.col("end.bucket").alias("at"), "end.before")
+    return ends, level
 
 
 def source_targets(slim: DataFrame, share: float, most: float, weights: tuple[int, ...]) -> DataFrame:
@@ -71,17 +107,12 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     """The documents' slim rows (_id, _source, _size, _key, and id_col), and a row a source with its
     target, epochs and the cut (cut_key, cut_id) up to which documents are taken once more."""
     scratch = Scratch(docs.sparkSession, "mix")
-    slim = scratch.save(sampling_columns(docs, id_col, source_col, text_col).select(F.col(id_col).alias("id"), "_id", "_source", "_size", "_key"), "sizes")
+    slim = scratch.save(sampling_columns(docs, id_col, source_col, text_col).select(F.col("row")[id_col].alias("id"), "_id", "_source", "_size", "_key"), "sizes")
     sources = scratch.save(source_targets(slim, share, most, weights), "sources")
     n, rows = sources.agg(F.count("*"), F.sum("n")).first()
     near = F.broadcast if n <= MOST_BROADCAST else lambda x: x
-    buckets = max(64, (rows or 0) // 20_000)
-    bucket = F.floor((1 - F.exp(-F.col("_key"))) * buckets)
-    sums = slim.groupBy("_source", bucket.alias("bucket")).agg(F.sum("_size").alias("size"))
-    upto = F.sum("size").over(W.partitionBy("_source").orderBy("bucket"))
-    ends = sums.withColumn("upto", upto).join(near(sources.select("_source", "budget").where("budget > 0")), "_source")
-    ends = ends.where("upto >= budget").groupBy("_source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before"), "budget")).alias("end"))
-    edge = slim.withColumn("bucket", bucket).join(near(ends), "_source").where("bucket = end.bucket")
+    ends, level = end_buckets(slim, sources, near, scratch)
+    edge = slim.join(near(ends), "_source").where(leading(level) == F.col("end.bucket"))
     edge = edge.groupBy("_source", "_key", "_id").agg(F.sum("_size").alias("size"), F.first("end").alias("end"))
     order = W.partitionBy("_source").orderBy("_key", "_id")
     half = F.col("end.before") + F.sum("size").over(order) - F.col("size") / 2.0
@@ -89,13 +120,14 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     inside = edge.where("fits").groupBy("_source").agg(F.max(F.struct("_key", "_id")).alias("cut"))
     # where nothing of the last bucket fits, all smaller buckets are taken
     cuts = ends.join(inside, "_source", "left").select("_source", F.col("end.bucket").alias("cut_bucket"), F.col("cut._key").alias("cut_key"), F.col("cut._id").alias("cut_id"))
-    cuts = cuts.withColumn("buckets", F.lit(buckets))
-    return slim, near(scratch.save(sources.join(cuts, "_source", "left").select("_source", "source_size", "target", "epochs", "budget", "cut_bucket", "cut_key", "cut_id", "buckets"), "cuts"))
+    cuts = scratch.save(sources.join(cuts, "_source", "left").select("_source", "source_size", "target", "epochs", "budget", "cut_bucket", "cut_key", "cut_id", F.lit(level).alias("level")), "cuts")
+    scratch.keep_only("sizes", "cuts")
+    return slim, near(cuts)
 
 
 def copies() -> Column:
     """How often a document is taken, over its sampling columns joined with its source's row."""
-    bucket = F.floor((1 - F.exp(-F.col("_key"))) * F.col("buckets"))
+    bucket = leading(F.col("level"))
     inside = F.struct("_key", "_id") <= F.struct(F.col("cut_key").alias("_key"), F.col("cut_id").alias("_id"))
     once = (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & F.col("cut_key").isNotNull() & inside)
     return F.col("epochs") + F.when(F.coalesce(once, F.lit(False)), 1).otherwise(0)
@@ -111,7 +143,7 @@ OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 k AS (SELECT doc_id, source, size,
         -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
-        / CASE WHEN length(t) / greatest(size, 1) - 1 BETWEEN 3 AND 12 THEN 1.0 ELSE 0.25 END AS key FROM d),
+        / (least(1.0, greatest(0.1, 1 - abs(CAST(length(t) AS DOUBLE) / greatest(size, 1) - 1 - 5) / 10)) * least(1.0, greatest(0.1, CAST(length(translate(t, '""" + MARKS + r"""', '')) AS DOUBLE) / greatest(length(t), 1) * 2 - 0.8))) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, ([3.0, 1.0, 2.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
 r AS (SELECT source, source_size, CAST(w AS DOUBLE) AS w, 2 * source_size AS cap, 2 * source_size / CAST(w AS DOUBLE) AS ratio FROM s),
 l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -127,9 +159,12 @@ FROM o
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it."""
+    """Pipeline stage: each document as often as the mix takes it.
+
+    Texts without a word have size 0 and stay or go with their key. A null source is a source; rows
+    without id are one id; repeated rows are taken alike. All columns are carried, whatever their names.
+    """
     _, sources = mix_plan(docs)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text")
-    rows = sampling_columns(rows, "doc_id", "source", "text").select("_row", "_id", "_source", "_key")
-    taken = rows.join(sources, "_source").withColumn("_copies", copies().cast("int")).where("_copies > 0")
-    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    rows = sampling_columns(docs, "doc_id", "source", "text").select("row", "_id", "_source", "_key")
+    taken = rows.join(sources, "_source").withColumn("copies", copies().cast("int")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

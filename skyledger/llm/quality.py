@@ -2,9 +2,15 @@
 
 A text is compressed with either dictionary, in blocks of 512 bytes. How much smaller it gets with
 one than with the other, relative to the larger size, tells which text it is like. A logistic
-calibration of this difference, for the whole text and at its largest and smallest for a block, and
-of both sizes relative to the text's, gives the score. Dictionaries are trained on one half of a
-bounded sample of labelled documents, the calibration on the other.
+calibration turns this difference into the score. The difference alone can't tell text that repeats
+itself, which both dictionaries shorten alike (see the README for figures); so the calibration also
+takes both sizes relative to the text's, and the largest and smallest difference of a block, drawn
+towards zero for short blocks. Dictionaries are trained on one half of a bounded sample of labelled
+documents, the calibration on the other.
+
+Of a sampled text of any length, dictionaries get at most 16 blocks, evenly spaced over all of it; the
+driver holds at most 2 * per_class * 16 * 512 bytes. For the calibration it only gets numbers, of the
+whole texts.
 
 Cases: null and empty texts compress to a frame's header and get the score that follows. If only one
 label was seen, every score is that label's; if none, 0. Repeated rows are scored alike. Other
@@ -17,21 +23,31 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import id_bucket, map_rows, text_bytes
+from skyledger.llm.common import Scratch, id_bucket, map_rows, text_bytes
 from skyledger.llm.labelled import labelled_sample
 
-LEVEL, BLOCK, FEATURES = 3, 512, 5
+LEVEL, BLOCK, FEATURES, PIECES = 3, 512, 5, 16
+
+
+def blocks(text: bytes) -> list[bytes]:
+    return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)] or [b""]
+
 
+def pieces(text: bytes) -> list[bytes]:
+    """At most PIECES blocks, evenly spaced over the whole text."""
+    n = -(-len(text) // BLOCK)
+    return [text[k * BLOCK : (k + 1) * BLOCK] for k in (range(n) if n <= PIECES else (j * n // PIECES for j in range(PIECES)))]
 
-def train_dictionary(texts: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary; the texts themselves, up to size bytes, where they are too few for one."""
-    pieces = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
+
+def train_dictionary(parts: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary; the parts themselves, up to size bytes, where they are too few for one."""
     try:
-        return zstandard.train_dictionary(size, pieces).as_bytes()
+        return zstandard.train_dictionary(size, parts).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(texts)[-size:] or b"\0" * 8
+        return b"".join(parts)[-size:] or b"\0" * 8
 
 
 class CompressionModel:
@@ -49,16 +65,15 @@ class CompressionModel:
             for d in dicts:
                 d.precompute_compress(level=LEVEL)
             self._compressors = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False) for d in dicts]
-        text, n = text or b"", len(text or b"")
+        text = text or b""
         first, second = (c.compress for c in self._compressors)
-        blocks = [text[i : i + BLOCK] for i in range(0, n, BLOCK)] or [b""]
-        pairs = [(len(first(b)), len(second(b))) for b in blocks]
+        pairs = [(len(first(b)), len(second(b))) for b in blocks(text)]
         good, bad = sum(x for x, _ in pairs), sum(x for _, x in pairs)
-        each = [(x - y) / max(x, y) for x, y in (pairs[:-1] if n > BLOCK and n % BLOCK < 64 else pairs)]  # a short end says little
-        return (good - bad) / max(good, bad), float(np.log(good / (n + 8))), float(np.log(bad / (n + 8))), max(each), min(each)
+        each = [(x - y) / (max(x, y) + 32) for x, y in pairs]
+        return (good - bad) / max(good, bad), float(np.log(good / (len(text) + 8))), float(np.log(bad / (len(text) + 8))), max(each), min(each)
 
-    def calibrate(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, rounds: int = 50) -> None:
-        x = np.array([self.features(t) for t in texts])
+    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, rounds: int = 50) -> None:
+        """x: the features of each text."""
         self.mean, self.spread = x.mean(0), x.std(0) + 1e-9
         x = np.c_[np.ones(len(x)), (x - self.mean) / self.spread]
         weight = weight / weight.sum()
@@ -74,17 +89,34 @@ class CompressionModel:
 
 
 def fit_quality(sample: DataFrame, stands_for: dict[int, float], *, dictionary_bytes: int = 65536) -> CompressionModel | float:
-    """sample: (id, text, label), of bounded size. A number is the score of every text."""
-    got = sample.select("id", F.col("text").cast("binary").alias("text"), "label").toArrow().sort_by("id")
-    y, texts = got["label"].to_numpy().astype(float), got["text"].to_pylist()
-    if not 0 < y.sum() < len(y):
+    """sample: (id, text, label), of a bounded number of rows. A number is the score of every text."""
+    # every other row of a label, by its hash, for the dictionaries; the rest for the calibration
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("id", "text", F.lit(23)), F.xxhash64("id", "text")))
+    sample = Scratch(sample.sparkSession, "quality").save(sample.withColumn("place", place), "sample")
+
+    def make_pieces():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.record_batch({"label": batch["label"], "place": batch["place"], "parts": pa.array([pieces(t or b"") for t in text_bytes(batch["text"])], pa.list_(pa.binary()))})
+
+        return f
+
+    got = map_rows(sample.where("place % 2 = 1"), make_pieces, "label int, place int, parts array<binary>").toArrow().sort_by([("label", "ascending"), ("place", "ascending")])
+    labels = got["label"].to_numpy()
+    if not 0 < labels.sum() < len(labels):
         return float(max(stands_for, default=0))
-    half = np.zeros(len(y), bool)
-    for c in (0, 1):
-        half[np.flatnonzero(y == c)[::2]] = True
-    model = CompressionModel(*(train_dictionary([texts[i] for i in np.flatnonzero(half & (y == c))], dictionary_bytes) for c in (1, 0)))
-    rest = np.flatnonzero(~half) if len({*y[~half]}) == 2 else np.arange(len(y))
-    model.calibrate([texts[i] for i in rest], y[rest], np.array([stands_for.get(int(c), 1.0) for c in y[rest]]))
+    parts = got["parts"].to_pylist()
+    model = CompressionModel(*(train_dictionary([x for i in np.flatnonzero(labels == c) for x in parts[i]], dictionary_bytes) for c in (1, 0)))
+
+    def make_features():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.record_batch({"label": batch["label"], "place": batch["place"], "x": pa.array([model.features(t) for t in text_bytes(batch["text"])], pa.list_(pa.float64()))})
+
+        return f
+
+    rest = sample.where("place % 2 = 0") if sample.where("place % 2 = 0").select("label").distinct().count() == 2 else sample
+    got = map_rows(rest, make_features, "label int, place int, x array<double>").toArrow().sort_by([("label", "ascending"), ("place", "ascending")])
+    y = got["label"].to_numpy().astype(float)
+    model.calibrate(np.array(got["x"].to_pylist()), y, np.array([stands_for.get(int(c), 1.0) for c in y]))
     return model
 
 

@@ -4,25 +4,29 @@ Linked documents (those of one group, such as equal texts) should share a shard,
 sizes in bytes stay near equal: the law is `bytes`.
 
 1. Documents fall by a hash of their id into 64 cells of their group, and start in shard cell mod 8.
-   Rows and bytes are summed up by cell, so that a group of any size has 64 rows at most from there.
+   A cell of more than a 512th of all rows is split by row, so cells stay small however large a group
+   is, and whether or not its rows have ids of their own. Rows and bytes are summed up by cell.
 2. Rounds of label propagation: each cell wants the shard that holds most of its group's rows, ties
    by a preference of the group's own. Wishes are admitted in the order of their gain, as far as the
    prefix sum of bytes keeps within the shard's quota; sums are taken by gain class and hash, not
-   by sorting. Rounds end when none is admitted, or after max_rounds.
+   by sorting. Rounds go on until none is admitted; cells only move to where most of their group is,
+   so that comes about.
 3. Shards over their fair share give cells of the least gain back. These and the cells of unlinked
    documents are laid out in a few classes of size, largest first: each class fills the shards up to
    a common level, by intervals of its prefix sums. After the last class, of the smallest documents,
-   sizes differ by about one of these.
+   sizes differ by about one of these. Groups of more than a quarter of a fair share are laid out
+   by the cell, smaller ones as a whole.
 4. Slots number a shard's documents from 0 without gaps, by hash buckets with offsets.
 
 Cases: null text has no bytes, counts 1, and is no group: null texts are not linked. Empty texts
 are one group. Repeated rows and ids are separate documents of equal text. Null ids are hashed like
-an id of their own. Fewer documents than shards leave shards empty; an empty table gives an empty
+an id of their own; null texts without id count as one group. Fewer documents than shards leave shards empty; an empty table gives an empty
 result. Columns beside those named are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 
 from pyspark.sql import DataFrame
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.common import Scratch
 
-CELLS = 64
+CELLS, MOST_CELLS = 64, 512
 GROUP = ["g", "crc", "size"]
 
 
@@ -44,9 +48,20 @@ def slim_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("crc"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(CELLS)).cast("int").alias("cell"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int").alias("salt"),  # fixed once the rows are written
     )
 
 
+def split_cells(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with the cells of more than a MOST_CELLS-th of all rows split; there are fewer such cells than that."""
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    hot = counts.where(F.col("rows") * MOST_CELLS > total).select(*GROUP, "cell", F.ceil(F.col("rows") * MOST_CELLS / F.lit(total)).cast("int").alias("parts"))
+    if hot.isEmpty():
+        return rows
+    joined = rows.join(F.broadcast(hot), [*GROUP, "cell"], "left")
+    return joined.withColumn("cell", F.col("cell") + CELLS * F.coalesce(F.col("salt") % F.col("parts"), F.lit(0))).select(*rows.columns)
+
+
 def loads(placed: DataFrame, shards: int) -> list[int]:
     out = [0] * shards
     for s, n in placed.groupBy("shard").agg(F.sum("bytes")).collect():  # a row a shard
@@ -64,9 +79,9 @@ def fill(level_of: list[float], total: float) -> list[float]:
     return [max(0.0, level - x) for x in level_of]
 
 
-def propagate(linked: DataFrame, shards: int, quota: float, scratch: Scratch, max_rounds: int) -> DataFrame:
+def propagate(linked: DataFrame, shards: int, quota: float, scratch: Scratch) -> DataFrame:
     """linked: cells of groups with several rows, with their shard; they move as far as quotas allow."""
-    for k in range(max_rounds):
+    for k in itertools.count():
         held = linked.groupBy(*GROUP, "shard").agg(F.sum("rows").alias("held"))
         liking = -F.pmod(F.col("shard") - F.col("g"), F.lit(shards))
         best = held.groupBy(*GROUP).agg(F.max(F.struct("held", liking.alias("liking"), F.col("shard").alias("want"))).alias("best"))
@@ -154,17 +169,18 @@ def lay_out(free: DataFrame, start: list[int], shards: int, fair: float, scratch
     return placed
 
 
-def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", *, max_rounds: int = 6, slack: float = 0.25) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", *, slack: float = 0.25) -> DataFrame:
     """(id, size, crc, shard, slot), a row for each document."""
     scratch = Scratch(docs.sparkSession, "shards")
     rows = scratch.save(slim_rows(docs, id_col, text_col), "rows")
+    rows = split_cells(rows, scratch.save(rows.groupBy(*GROUP, "cell").agg(F.count("*").alias("rows")), "counts"))
     group = W.partitionBy(*GROUP)
     cells = rows.groupBy(*GROUP, "cell").agg(F.count("*").alias("rows"))
     cells = cells.withColumns({"bytes": F.col("rows") * F.col("size"), "grows": F.sum("rows").over(group)})
     cells = scratch.save(cells.withColumn("shard", (F.col("cell") % shards).cast("int")), "cells")
     n, total = cells.agg(F.sum("rows"), F.sum("bytes")).first()
     fair = (total or 0) / shards
-    linked = propagate(cells.where("grows > 1"), shards, fair * (1 + slack), scratch, max_rounds)
+    linked = propagate(cells.where("grows > 1"), shards, fair * (1 + slack), scratch)
     # Groups of up to a quarter of a fair share move as a whole from here, larger ones by the cell.
     unit = F.when(F.col("grows") * F.col("size") > fair / 4, F.col("cell")).otherwise(-1)
     linked = scratch.save(give_back(linked.withColumn("unit", unit), shards, fair), "linked")
@@ -179,6 +195,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     moved = linked.where("free").select(*GROUP, "cell", "unit").join(placed, [*GROUP, "unit"]).select(*GROUP, "cell", "shard")
     alone = placed.join(cells.where("grows = 1").select(*GROUP, "cell"), GROUP, "left_semi").select(*GROUP, F.col("unit").cast("int").alias("cell"), "shard")
     final = scratch.save(rows.join(stay.unionByName(moved).unionByName(alone), [*GROUP, "cell"]).select("id", "size", "crc", "shard"), "final")
+    scratch.keep_only("final")
     buckets = max(4, (n or 0) // shards // 20_000)
     bucket = F.pmod(F.xxhash64("id", "crc", F.lit(3)), F.lit(buckets))
     sums = final.groupBy("shard", bucket.alias("bucket")).agg(F.count("*").alias("n"))

@@ -73,15 +73,41 @@ class FactorizationMachine:
                     params[k] = params[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return cls(inputs, float(params[0][0]), params[1], params[2])
 
-    def score(self, hashes: set[int]) -> float:
-        at = sorted(i for i in map(self.place.get, hashes) if i is not None)
-        f = self.vectors[at]
-        z = self.bias + self.weights[at].sum() + 0.5 * ((f.sum(0) ** 2).sum() - (f**2).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def fit_toxicity(sample: DataFrame, stands_for: dict[int, float], *, inputs: int = 1024, least: int = 3, least_z: float = 5.0) -> FactorizationMachine | float:
-    """sample: (id, text, label), of bounded size. A number is the score of every text."""
+    def scores(self, texts: list[set[int]]) -> np.ndarray:
+        """For the term hashes of each text; one product for all of them."""
+        place = self.place.get
+        at = [[i for i in map(place, sorted(t)) if i is not None] for t in texts]
+        flat, row = np.array([i for x in at for i in x], int), np.repeat(np.arange(len(at)), [len(x) for x in at])
+        f = self.vectors.shape[1]
+        table = np.c_[self.weights, self.vectors, (self.vectors**2).sum(1)]
+        sums = np.zeros((len(at), f + 2))
+        np.add.at(sums, row, table[flat])
+        z = self.bias + sums[:, 0] + 0.5 * ((sums[:, 1 : f + 1] ** 2).sum(1) - sums[:, f + 1])
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def paired(x: np.ndarray, y: np.ndarray, least: int, least_z: float) -> np.ndarray:
+    """For each column of x, 0 or 1, its largest |z| with another: how far the share of label 1 among
+    rows that hold both terms lies from what the terms' own shares lead to expect."""
+    n, n1, p = len(y), float(y.sum()), y.mean()
+    both, both1 = x.T @ x, x[y > 0].T @ x[y > 0]
+    own = np.where(np.diag(both) > 0, np.diag(both1) / np.maximum(np.diag(both), 1), p)
+    logit = np.log((own * n + p) / ((1 - own) * n + 1 - p))
+    base = np.log(p / (1 - p))
+    expected = 1 / (1 + np.exp(-np.clip(logit[:, None] + logit[None, :] - base, -30, 30)))
+    z = (both1 - both * expected) / np.sqrt(np.maximum(both * expected * (1 - expected), 1.0))
+    z[both < least] = 0
+    np.fill_diagonal(z, 0)
+    best = np.abs(z).max(1, initial=0)
+    return np.where(best >= least_z, best, 0) if 0 < n1 < n else best * 0
+
+
+def fit_toxicity(sample: DataFrame, stands_for: dict[int, float], *, inputs: int = 1024, least: int = 3, least_z: float = 5.0, common: int = 2048, pair_least: int = 20, pair_z: float = 7.0) -> FactorizationMachine | float:
+    """sample: (id, text, label), of a bounded number of rows. A number is the score of every text.
+
+    Inputs are the terms most associated with the label, alone or in a pair of the `common` most
+    frequent ones: so terms that tell nothing alone can still interact.
+    """
     if len(stands_for) < 2:
         return float(max(stands_for, default=0))
 
@@ -90,11 +116,11 @@ def fit_toxicity(sample: DataFrame, stands_for: dict[int, float], *, inputs: int
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             terms = [np.array(sorted(term_hashes(t, memo)), np.int32) for t in text_bytes(batch["text"])]
-            return pa.record_batch({"id": batch["id"].cast(pa.int64()), "label": batch["label"], "terms": pa.array(terms, pa.list_(pa.int32()))})
+            return pa.record_batch({"id": batch["id"], "label": batch["label"], "terms": pa.array(terms, pa.list_(pa.int32()))})
 
         return f
 
-    got = map_rows(sample, make, "id long, label int, terms array<int>").toArrow().sort_by("id")
+    got = map_rows(sample.withColumn("id", F.col("id").cast("string")), make, "id string, label int, terms array<int>").toArrow().sort_by("id")
     y = got["label"].to_numpy().astype(float)
     lists = got["terms"].combine_chunks()
     flat, sizes = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -107,7 +133,14 @@ def fit_toxicity(sample: DataFrame, stands_for: dict[int, float], *, inputs: int
     share = seen / n
     z = (seen1 / n1 - (seen - seen1) / (n - n1)) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / (n - n1)))
     z[(seen < least) | (np.abs(z) < least_z)] = 0  # else it is chance
-    chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:inputs])
+    often = np.sort(np.argsort(-seen, kind="stable")[:common])
+    at = np.full(SPACE, -1, np.int32)
+    at[often] = np.arange(len(often))
+    held = np.zeros((n, len(often)), np.float32)
+    held[row[at[flat] >= 0], at[flat[at[flat] >= 0]]] = 1
+    z = np.abs(z)
+    z[often] = np.maximum(z[often], paired(held, y, pair_least, pair_z))
+    chosen = np.sort(np.argsort(-z, kind="stable")[:inputs])
     chosen = chosen[z[chosen] != 0]
     place = np.full(SPACE, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
@@ -127,7 +160,8 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine | float, text_co
         memo: dict = {}
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = [model if isinstance(model, float) else model.score(term_hashes(t, memo)) for t in text_bytes(batch["_text"])]
+            texts = text_bytes(batch["_text"])
+            scores = np.full(len(texts), model) if isinstance(model, float) else model.scores([term_hashes(t, memo) for t in texts])
             return pa.record_batch({c: batch[c] for c in keep.values()} | {"score": pa.array(scores, pa.float64())})
 
         return f
