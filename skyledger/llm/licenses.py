@@ -145,9 +145,13 @@ def rules() -> list[tuple[str, str, int, str]]:
     return out
 
 
+#: What stands between words.
+NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def words_of(text: Column) -> Column:
     """The words with single blanks between and a blank at either end; not lower-cased."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, NO_WORD, " ")), F.lit(" "))
 
 
 def count_words(words: Column) -> Column:
@@ -188,8 +192,8 @@ def intervals(words: Column, pattern: Column) -> Column:
 
 
 def detections(words: Column, keywords: Column, table: list[tuple[str, str, int, str]]) -> Column:
-    """All matches of the rules whose keyword was found: start, -end, -priority and label, sorted so
-    that an interval comes after those that contain it."""
+    """All matches of the rules of the keywords: start, -end, -priority and label, sorted so that an
+    interval comes after those that contain it."""
     rows = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(x).alias("label")) for k, p, n, x in table])
     of_keywords = let(keywords, lambda known: F.filter(rows, lambda r: F.array_contains(known, r["keyword"])))
     meant = F.filter(of_keywords, lambda r: F.regexp(words, F.concat(F.lit(" (?:"), r["pattern"], F.lit(") "))))
@@ -197,6 +201,28 @@ def detections(words: Column, keywords: Column, table: list[tuple[str, str, int,
     return F.array_sort(F.flatten(found))
 
 
+def gate_words(table: list[tuple[str, str, int, str]]) -> dict[str, list[str]]:
+    """The words of which a text must hold one, for the rules of each keyword: the keyword, or a rarer
+    word of all its patterns. Short names may run on into a version, as in "gplv3" or "cc0"."""
+    out = {k: [k] for k, *_ in table}
+    for short in ("gpl", "lgpl", "agpl", "gfdl"):
+        out[short] = [short + v + n for v in ("", "v", "ver", "version") for n in ("", "1", "2", "3")]
+    out["cc"] = ["cc", "cc0", "cczero"]
+    out["mit"], out["beer"] = ["license", "licence", "licensed"], ["ware"]
+    return out
+
+
+def hit_keywords(words: Column, held: Column, table: list[tuple[str, str, int, str]]) -> Column:
+    """Keywords of which a gate word is held and some rule matches: one literal alternation for each,
+    compiled once."""
+    hits = []
+    for k, names in gate_words(table).items():
+        pattern = " (?:" + "|".join(dict.fromkeys(p for key, p, *_ in table if key == k)) + ") "
+        held_one = F.array_contains(held, names[0]) if len(names) == 1 else F.arrays_overlap(held, F.array(*map(F.lit, names)))
+        hits.append(F.when(held_one & F.regexp(words, F.lit(pattern)), F.lit(k)))
+    return F.array_compact(F.array(*hits))
+
+
 def unsuppressed(found: Column) -> Column:
     """(labels, best): distinct labels of the detections that no interval of higher priority holds,
     and the highest priority among them (-1: none). One pass, with the furthest end so far by priority."""
@@ -218,18 +244,20 @@ def unsuppressed(found: Column) -> Column:
 def scan_licenses(docs: DataFrame, text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score."""
     keep, table = keep or {}, rules()
-    keywords = sorted({k for k, *_ in table} | {"gnu", "apache", "cc", "mit"}, key=lambda k: (-len(k), k))
-    # Short names may run on, as in "gplv3"; other keywords are whole words.
-    runs_on = {"gpl", "lgpl", "agpl", "gfdl", "cecill", "cc"}
-    gate = " (?:" + "|".join(k if k in runs_on else k + "(?= )" for k in keywords) + ")"
-    rows = docs.select(*[F.col(c).alias(n) for c, n in keep.items()], words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"))
-    # "  " is what is left of a text without words
-    rows = rows.withColumn("n_words", F.when(F.col("_words") == "  ", 0).otherwise(count_words(F.col("_words")) - 1).cast("long"))
-    gated = F.regexp("_words", F.lit("(?i)" + gate))
-    rows = rows.withColumn("_low", F.when(gated, F.translate("_words", UPPER, LOWER)))
+    every = sorted({w for names in gate_words(table).values() for w in names})  # the base phrases' words are among them
+    rows = docs.select(*[F.col(c).alias(n) for c, n in keep.items()], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    # The engine's own lower-casing is fast and, for words of ASCII letters, finds all that the contract's does.
+    rows = rows.withColumn("_split", F.split(F.lower("_text"), NO_WORD))
+    n = F.size("_split")
+    ends = F.when(F.col("_split")[0] == "", 1).otherwise(0) + F.when((n > 1) & (F.element_at("_split", -1) == ""), 1).otherwise(0)
+    rows = rows.select(*keep.values(), "_text", (n - ends).cast("long").alias("n_words"), F.when(F.arrays_overlap(F.array(*map(F.lit, every)), "_split"), F.array_intersect(F.array(*map(F.lit, every)), "_split")).alias("_held"))
+    # only texts that hold a gate word are put into words again, exactly
+    rows = rows.withColumn("_low", F.when(F.col("_held").isNotNull(), F.translate(words_of(F.col("_text")), UPPER, LOWER)))
     low = F.col("_low")
-    found = F.array_distinct(F.regexp_extract_all(low, F.lit(gate.replace("(?:", "(", 1)), F.lit(1)))
-    rows = rows.withColumns({"_base": F.when(low.isNotNull(), F.array(*[base_places(low, phrase) for phrase, _ in BASE])), "_found": F.when(low.isNotNull(), unsuppressed(detections(low, found, table)))})
+    rows = rows.withColumn("_hit", F.when(low.isNotNull(), hit_keywords(low, F.col("_held"), table)))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
+    base = F.array(*[F.when(F.contains(low, F.lit(f" {phrase} ")), base_places(low, phrase)).otherwise(none) for phrase, _ in BASE])
+    rows = rows.withColumns({"_base": F.when(low.isNotNull(), base), "_found": F.when(F.size("_hit") > 0, unsuppressed(detections(low, F.col("_hit"), table)))})
     base = F.col("_base")
     names = F.array(*[F.lit(label) for _, label in BASE])
     base_labels = F.coalesce(F.filter(names, lambda x, i: base[i]["n"] > 0), F.array().cast("array<string>"))
