@@ -278,3 +278,35 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", keep: dict[str, str]
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", {"doc_id": "doc_id"})
+
+
+def _rules_sql() -> str:
+    """The rules as SQL rows. The text's words stand between two blanks there, one of its own on either
+    side, so that no pattern has to look ahead."""
+    wide = lambda p: p.replace(" ?", "(?:\0)?").replace(" ", "  ").replace("\0", "  ")
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(wide(p))}, {n}, {quoted(x)})" for _, p, n, x in dict.fromkeys(rules()))
+
+
+OP9_SQL = (
+    r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+j AS (SELECT r, ' ' || array_to_string(w, '  ') || ' ' AS j FROM d),
+base(phrase, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
+places AS (SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(phrase)] = phrase)) AS i FROM d, base WHERE list_contains(w, phrase[1])),
+b AS (SELECT r, count(*) AS n, min(i) AS first, max(i) AS last, list_distinct(list(label)) AS labels FROM places GROUP BY r),
+rules(pattern, rank, label) AS (VALUES """
+    + _rules_sql()
+    + r"""),
+m AS (SELECT r, rank, label, list_filter(string_split(regexp_replace(j, ' (' || pattern || ') ', ' ' || chr(1) || '\1' || chr(2) || ' ', 'g'), ' '), lambda x: x <> '') AS t
+      FROM j JOIN rules ON regexp_matches(j, ' (?:' || pattern || ') ')),
+f AS (SELECT row_number() OVER () AS k, * FROM (SELECT r, rank, label, unnest(list_filter(range(len(t)), lambda i: starts_with(t[i + 1], chr(1)))) AS s, unnest(list_filter(range(len(t)), lambda i: ends_with(t[i + 1], chr(2)))) AS e FROM m)),
+kept AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.r = f.r AND g.rank > f.rank AND g.s <= f.s AND g.e >= f.e)),
+x AS (SELECT r, max(rank) AS best, list(label) AS labels FROM kept GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(first AS BIGINT) AS first_word, CAST(last AS BIGINT) AS last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(coalesce(b.labels, []) || coalesce(x.labels, []))), ','), '') AS labels,
+       greatest(CASE best WHEN 3 THEN 1.0 WHEN 2 THEN 0.9 WHEN 1 THEN 0.7 WHEN 0 THEN 0.4 ELSE 0.0 END, CASE WHEN n > 0 THEN 0.9 ELSE 0.0 END)::DOUBLE AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN x USING (r)
+"""
+)

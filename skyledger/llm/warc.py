@@ -4,8 +4,8 @@ Writing: every page is a `response` record whose block is an HTTP message with c
 framing, or, if its payload equals that of a page with a larger id, a `revisit` record that names
 that page and holds HTTP headers only. Blocks beyond segment_bytes are cut into segments: the first
 stays the response record, the others are `continuation` records that name it. Files are written by
-the engine's text writer, whose line separator ends each record, gzip-compressed and with at most
-max_records records each; so they can go to any store, and a lost executor leaves no half file.
+the engine's text writer, gzip-compressed, whose line separator ends each pack of records; with at
+most 64 packs of about 1 MB a file. So they can go to any store, and a lost executor leaves no half file.
 
 Reading: files are framed by Content-Length, never by searching. Segments are grouped by origin
 identifier, ordered by segment number and checked against the total length; then the chunked
@@ -89,30 +89,50 @@ def page_records(page: int | None, serial: str, url: str | None, payload: bytes,
         yield record("continuation", f"{name[:-1]}:{k}>", [("WARC-Target-URI", target), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(k)), ("WARC-Segment-Total-Length", total)], part)
 
 
-def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = 32768, max_records: int = 4000) -> None:
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha1("payload"))
-    ids = rows.select("page", "sha")
-    tops = ids.groupBy("sha").agg(F.max("page").alias("top"), F.count("*").alias("n")).where("n > 1").select("sha", "top")
-    revisits = ids.join(tops, "sha").where("page < top").groupBy("page", "sha").agg(F.first("top").alias("top"))
-    dealt = rows.join(revisits, ["page", "sha"], "left").select("page", "url", "payload", "top")
+def with_tops(rows: DataFrame, heavy_share: int = 1000) -> DataFrame:
+    """rows(page, payload, ...) with top: the largest page of an equal payload, null for that page itself.
+
+    Payloads of more than a thousandth of all rows, of which there can't be more than a thousand, are
+    met by broadcast, and their rows are dealt out evenly in the join that the others need; so no task
+    gets a frequent payload, such as the empty one, as a whole. Payloads are shuffled once.
+    """
+    scratch = Scratch(rows.sparkSession, "warc-tops")
+    every = scratch.save(rows.groupBy(F.sha1("payload").alias("sha")).agg(F.max("page").alias("top"), F.count("*").alias("n")), "payloads")
+    total = every.agg(F.sum("n")).first()[0] or 0
+    heavy = every.where(F.col("n") * heavy_share > total).where("n > 1").select(F.col("sha").alias("heavy_sha"), F.col("top").alias("heavy"))
+    light = every.where(F.col("n") * heavy_share <= total).where("n > 1").select(F.col("sha").alias("key"), F.col("top").alias("light"))
+    rows = rows.withColumn("sha", F.sha1("payload")).join(F.broadcast(heavy), F.col("sha") == F.col("heavy_sha"), "left")
+    key = F.when(F.col("heavy_sha").isNull(), F.col("sha")).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(4096))))
+    joined = rows.withColumn("key", key).join(light, "key", "left").withColumn("top", F.coalesce("heavy", "light"))
+    return joined.withColumn("top", F.when(F.col("page") < F.col("top"), F.col("top")))
+
+
+#: Records are handed to the writer in packs of about so many bytes; a file has FILE_PACKS packs at most.
+PACK, FILE_PACKS = 1 << 20, 64
+
+
+def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = 32768, pack_bytes: int = PACK) -> None:
+    """gzip files below path, of about 64 MB before compression at most."""
+    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+    dealt = with_tops(rows)
 
     def run(batches):
         part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            for page, url, payload, top in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, url, payload, top in zip(*(batch[c].to_pylist() for c in ("page", "url", "payload", "top")), strict=True):
                 for r in page_records(page, f"{part}-{k}", url, payload, top, segment_bytes):
                     held.append(r)
                     size += len(r)
+                    if size > pack_bytes:
+                        yield pa.record_batch({"record": pa.array([b"\r\n".join(held)], pa.binary())})
+                        held, size = [], 0
                 k += 1
-                if size > FLUSH:
-                    yield pa.record_batch({"record": pa.array(held, pa.binary())})
-                    held, size = [], 0
         if held:
-            yield pa.record_batch({"record": pa.array(held, pa.binary())})
+            yield pa.record_batch({"record": pa.array([b"\r\n".join(held)], pa.binary())})
 
     # A cast of binary to string keeps the bytes, and the text writer writes them as they are.
-    records = dealt.mapInArrow(run, "record binary").select(F.col("record").cast("string"))
-    records.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", max_records).mode("overwrite").text(path)
+    records = dealt.select("page", "url", "payload", "top").mapInArrow(run, "record binary").select(F.col("record").cast("string"))
+    records.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_PACKS).mode("overwrite").text(path)
 
 
 def inflated(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -174,6 +194,7 @@ def decoded(block: bytes) -> tuple[dict[bytes, bytes], bytes]:
 
 PAGE = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary, problem string"
 PART = "origin string, number int, total long, block binary"
+EVERY = f"{PAGE}, said string, {PART}, is_part boolean"
 
 
 def page_row(head: dict[str, str], block: bytes, with_payload: bool) -> dict:
@@ -194,7 +215,7 @@ def page_row(head: dict[str, str], block: bytes, with_payload: bool) -> dict:
 
 
 def arrow_type(kind: str) -> pa.DataType:
-    return {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind]
+    return {"boolean": pa.bool_(), "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind]
 
 
 def batches_of(rows: Iterator[tuple[dict, int]], schema: str) -> Iterator[pa.RecordBatch]:
@@ -213,7 +234,7 @@ def batches_of(rows: Iterator[tuple[dict, int]], schema: str) -> Iterator[pa.Rec
 
 def read_archive(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
     """A row for each response and revisit record, with its whole payload decoded."""
-    # gzip files can't be split; the file count that write_archive's max_records sets gives the tasks
+    # gzip files can't be split; write_archive bounds them in bytes
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
 
     def records(batches):
@@ -221,22 +242,23 @@ def read_archive(spark: SparkSession, path: str, *, with_payload: bool = True) -
             for i in range(batch.num_rows):
                 yield from framed(inflated(batch["content"][i].as_py()))
 
-    def is_part(head: dict) -> bool:
-        return "warc-segment-number" in head
-
-    def whole(batches):
-        yield from batches_of(((page_row(h, b, with_payload), len(b) if with_payload else 64) for h, b in records(batches) if not is_part(h) and (h.get("warc-type") in ("response", "revisit") or "problem" in h)), PAGE)
-
     heads = PAGE.replace("payload_bytes long, payload_digest string, payload binary, problem string", "said string")
 
-    def parts(batches):
-        def row(h: dict, b: bytes) -> dict:
-            number, total = h["warc-segment-number"], h.get("warc-segment-total-length", "")
-            first = h.get("warc-type") != "continuation"
-            name = {"record_id": h.get("warc-record-id"), "record_type": h.get("warc-type"), "target_uri": h.get("warc-target-uri"), "said": h.get("warc-payload-digest")} if first else {}
-            return name | {"origin": h.get("warc-record-id") if first else h.get("warc-segment-origin-id"), "number": int(number) if number.isdigit() else -1, "total": int(total) if total.isdigit() else None, "block": b}
+    def part_row(h: dict, b: bytes) -> dict:
+        number, total = h["warc-segment-number"], h.get("warc-segment-total-length", "")
+        first = h.get("warc-type") != "continuation"
+        name = {"record_id": h.get("warc-record-id"), "record_type": h.get("warc-type"), "target_uri": h.get("warc-target-uri"), "said": h.get("warc-payload-digest")} if first else {}
+        return name | {"is_part": True, "origin": h.get("warc-record-id") if first else h.get("warc-segment-origin-id"), "number": int(number) if number.isdigit() else -1, "total": int(total) if total.isdigit() else None, "block": b}
 
-        yield from batches_of(((row(h, b), len(b)) for h, b in records(batches) if is_part(h)), f"{heads}, {PART}")
+    def run(batches):
+        def rows():
+            for h, b in records(batches):
+                if "warc-segment-number" in h:
+                    yield part_row(h, b), len(b)
+                elif h.get("warc-type") in ("response", "revisit") or "problem" in h:
+                    yield page_row(h, b, with_payload) | {"is_part": False}, len(b) if with_payload else 64
+
+        yield from batches_of(rows(), EVERY)
 
     def joined(batches):
         def close(name: str, got: list[dict]) -> tuple[dict, int]:
@@ -263,8 +285,11 @@ def read_archive(spark: SparkSession, path: str, *, with_payload: bool = True) -
 
         yield from batches_of(rows(), PAGE)
 
-    segments = files.mapInArrow(parts, f"{heads}, {PART}").repartition("origin").sortWithinPartitions("origin", "number")
-    return files.mapInArrow(whole, PAGE).union(segments.mapInArrow(joined, PAGE))
+    # Each file is unpacked once; what it holds is written, and read for whole records and for segments.
+    found = Scratch(spark, "warc-records").save(files.mapInArrow(run, EVERY), "records")
+    columns = [x.split()[0] for x in f"{heads}, {PART}".split(", ")]
+    segments = found.where("is_part").select(*columns).repartition("origin").sortWithinPartitions("origin", "number")
+    return found.where("not is_part").select(*[x.split()[0] for x in PAGE.split(", ")]).union(segments.mapInArrow(joined, PAGE))
 
 
 def page_id(name) -> F.Column:
@@ -275,4 +300,17 @@ def op2_warc(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch.path("archive"))
     found = read_archive(spark, scratch.path("archive"), with_payload=False)
+    scratch.drop("archive")  # what it holds was read by then
     return found.select(page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id("refers_to").alias("refers_to"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+t AS (SELECT h, max(page_id) AS top FROM p GROUP BY h),
+d AS (SELECT DISTINCT h, list_transform(range(40), lambda i: CAST(('0x' || h[i + 1]) AS INTEGER)) AS x FROM p),
+s AS (SELECT h, array_to_string(list_transform(range(32), lambda k:
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(5), lambda j: ((x[(5 * k + j) // 4 + 1] >> (3 - (5 * k + j) % 4)) & 1) << (4 - j)))::INTEGER]), '') AS name FROM d)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, name AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to
+FROM p JOIN t USING (h) JOIN s USING (h)
+"""

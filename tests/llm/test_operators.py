@@ -98,7 +98,7 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_segments_and_damage(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"{i} " * (2000 * i)) for i in range(1, 6)], "page_id long, url string, html string")
-    warc.write_archive(pages, f"{tmp_path}/a", segment_bytes=1000, max_records=7)
+    warc.write_archive(pages, f"{tmp_path}/a", segment_bytes=1000, pack_bytes=5000)
     got = warc.read_archive(spark, f"{tmp_path}/a").collect()
     assert {r["payload"].decode() for r in got} == {f"{i} " * (2000 * i) for i in range(1, 6)} and not any(r["problem"] for r in got)
     whole = b"".join(b"".join(r + b"\r\n" for r in warc.page_records(1, "0-0", "u", b"x" * 500, None, 100)) for _ in range(1))
@@ -111,6 +111,21 @@ def test_warc_segments_and_damage(spark, tmp_path):
     assert sorted(r["problem"] for r in warc.read_archive(spark, f"{tmp_path}/b").collect()) == ["cut off in a block", "segments missing or repeated"]
 
 
+def test_warc_with_frequent_payloads(spark, tmp_path):
+    """Many empty and equal payloads, many rows without id, more frequent than a thousandth of all."""
+    n = 2500
+    html = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, "often").otherwise(F.concat(F.lit("page"), (F.col("id") / 4).cast("long").cast("string")))
+    pages = spark.range(n).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    saved(pages, tmp_path, "pages")
+    rows = pages.collect()
+    top = {}
+    for r in rows:
+        if r["page_id"] is not None:
+            top[r["html"]] = max(top.get(r["html"], -1), r["page_id"])
+    want = sorted(str((r["page_id"], top[r["html"]] if r["page_id"] is not None and r["page_id"] < top[r["html"]] else None)) for r in rows)
+    assert sorted(str((r["page_id"], r["refers_to"])) for r in warc.op2_warc(spark, str(tmp_path)).collect()) == want
+
+
 def test_warc_empty(spark, tmp_path):
     saved(spark.createDataFrame([], "page_id long, url string, html string"), tmp_path, "pages")
     assert warc.op2_warc(spark, str(tmp_path)).count() == 0
