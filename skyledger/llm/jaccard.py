@@ -7,8 +7,10 @@
 3. Nodes meet by shingle. In small groups all pairs are candidates. A large group is first met by
    stars around single nodes; then all pairs whose ends are not yet in one component are candidates,
    so that no pair that could join two classes stays untested.
-4. Candidates differ in few of 256 parities of their hashes, which bounds the overlap from above; the
-   rest are tested on the sets, worked out again from the texts of the nodes that have a candidate.
+4. Candidates differ in few of 256 parities of their hashes, which bounds the overlap from above. Of
+   different pairs, longer sketches of parities, of two bits a shingle and more, are compared in the
+   same way; they let through little below a similarity of 0.75. What is left is tested on the sets,
+   worked out again from the texts of the nodes that have such a candidate.
 5. Connected components over the pairs that pass.
 
 No step leaves out a pair at or over the bound, but for equal 64-bit hashes of unlike shingles or sets.
@@ -55,8 +57,21 @@ def frequent(rows: DataFrame, size: int, sampled: int = 20_000, least: int = 20,
     return found["h"].to_numpy()[::-1].view(np.uint64)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the hashes by their low bits, as bytes: a power of two of bits, two a hash at least."""
+    bits = 1 << max(8, (2 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+
+
+def folded(s: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same hashes in so many bytes, a half, a quarter, … of its own."""
+    while len(s) > size:
+        s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+    return s
+
+
 def prefixes(rows: DataFrame, size: int, least: float, late: np.ndarray) -> DataFrame:
-    """(id, text_hash, node, size, parities, prefix) for rows of id and text."""
+    """(id, text_hash, node, size, sketch, parities, prefix) for rows of id and text."""
     shared = rows.sparkSession.sparkContext.broadcast((np.sort(late), np.argsort(late, kind="stable")))
 
     def make():
@@ -66,26 +81,26 @@ def prefixes(rows: DataFrame, size: int, least: float, late: np.ndarray) -> Data
 
         def one(t: bytes | None) -> tuple[int, int, np.ndarray, np.ndarray]:
             h = np.unique(shingle_hashes(t, size))
-            parity = np.packbits(np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
+            parities = sketch(h)
             order = h
             if len(sorted_late) and len(h):
                 at = np.minimum(np.searchsorted(sorted_late, h), len(sorted_late) - 1)
                 is_late = sorted_late[at] == h
                 behind = h[is_late][np.argsort(rank[at[is_late]], kind="stable")]
                 order = np.concatenate([h[~is_late], behind])
-            return xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), parity, order[: len(h) - math.ceil(least * len(h) - 1e-6) + 1].view(np.int64)
+            return xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), parities, order[: len(h) - math.ceil(least * len(h) - 1e-6) + 1].view(np.int64)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = [one(t) for t in text_bytes(batch["text"])]
             node = np.array([g[0] for g in got], np.uint64).view(np.int64)
-            parity = np.array([g[2] for g in got], np.int64).reshape(-1, 4)
-            out = {"id": batch["id"], "text_hash": batch["text_hash"], "node": pa.array(node), "size": pa.array([g[1] for g in got], pa.int32())}
+            parity = np.array([folded(g[2], 32).view(np.int64) for g in got], np.int64).reshape(-1, 4)
+            out = {"id": batch["id"], "text_hash": batch["text_hash"], "node": pa.array(node), "size": pa.array([g[1] for g in got], pa.int32()), "sketch": pa.array([g[2].tobytes() for g in got], pa.binary())}
             out |= {b: pa.array(np.ascontiguousarray(parity[:, k])) for k, b in enumerate(PARITIES)}
             return pa.record_batch(out | {"prefix": pa.array([g[3] for g in got], pa.list_(pa.int64()))})
 
         return f
 
-    return map_rows(rows.select("id", F.xxhash64("text").alias("text_hash"), "text"), make, "id long, text_hash long, node long, size int, " + ", ".join(f"{b} long" for b in PARITIES) + ", prefix array<long>")
+    return map_rows(rows.select("id", F.xxhash64("text").alias("text_hash"), "text"), make, "id long, text_hash long, node long, size int, sketch binary, " + ", ".join(f"{b} long" for b in PARITIES) + ", prefix array<long>")
 
 
 def row_id(c: Column) -> Column:
@@ -103,9 +118,27 @@ def could_pass(least: float) -> Column:
     return (left * (1 + least) >= enough) & ((total - unlike) / 2 * (1 + least) >= enough)
 
 
-def passing(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, least: float, scratch: Scratch, name: str) -> DataFrame:
+def likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs that their sketches do not rule out."""
+    a, b = (sketches.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}")) for n in "uv")
+    both = pairs.join(a, "u").join(b, "v").select("u", "v", "size_u", "size_v", "sketch_u", "sketch_v")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch[c].to_pylist() for c in ("size_u", "size_v", "sketch_u", "sketch_v")), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                short = min(len(x), len(y))
+                unlike = int(np.bitwise_count(folded(x, short) ^ folded(y, short)).sum(dtype=np.int64))
+                keep.append((n + m - unlike) / 2 * (1 + least) >= least * (n + m) - 1e-6)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def passing(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, rows: DataFrame, size: int, least: float, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (u, v) of nodes whose sets have the similarity."""
-    pairs = scratch.save(pairs.distinct(), f"pairs-{name}")
+    pairs = scratch.save(likely(scratch.save(pairs.distinct(), f"met-{name}"), sketches, least), f"pairs-{name}")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node")
     ends = scratch.save(ends.select("node", F.col("id").alias("_id"), F.col("text_hash").alias("_text")), f"ends-{name}")
     texts = rows.join(near(ends), (F.col("id") == F.col("_id")) & (F.xxhash64("text") == F.col("_text")))
@@ -140,6 +173,7 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, size: int =
     met = scratch.save(met, "met")
     bits = first.select("node", *PARITIES).join(near(scratch.save(met.select("node").distinct(), "meeting")), "node", "left_semi").dropDuplicates(["node"])
     met = scratch.save(met.join(bits, "node"), "groups")
+    sketches = scratch.save(first.select("node", "size", "sketch").dropDuplicates(["node"]).join(near(scratch.spark.read.parquet(scratch.path("meeting"))), "node", "left_semi"), "sketches")
     scratch.drop("met")
 
     def all_pairs(groups: DataFrame, *apart: Column) -> DataFrame:
@@ -154,7 +188,7 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, size: int =
         ends = F.col("a.node"), F.col("b.node")
         return groups.alias("b").join(hub, "shingle").where((ends[0] != ends[1]) & could_pass(least)).select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v"))
 
-    edges = passing(star(met.where("n > 2"), 0), nodes, rows, size, least, scratch, "0")
+    edges = passing(star(met.where("n > 2"), 0), nodes, sketches, rows, size, least, scratch, "0")
     left = met
     for k in range(1, stars + 2):
         of = connected_components(edges, Scratch(docs.sparkSession, f"jaccard-{k}"))
@@ -167,7 +201,7 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, size: int =
             break
         apart = F.col("a.component") != F.col("b.component")
         pairs = all_pairs(known, apart) if k == stars else all_pairs(known.where(F.col("n") <= small), apart).union(star(known.where(F.col("n") > small), k))
-        edges = edges.union(passing(pairs, nodes, rows, size, least, scratch, str(k)))
+        edges = edges.union(passing(pairs, nodes, sketches, rows, size, least, scratch, str(k)))
         left = known.where(F.col("n") > small).drop("component")
     of = scratch.save(of.withColumnRenamed("node", "_node"), "components")
     scratch.keep_only("prefixes", "components")
