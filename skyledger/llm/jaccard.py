@@ -5,8 +5,9 @@
    sets of similarity t share a shingle within their first size - ceil(t * size) + 1 ones (prefix
    filter), and at their first common one neither set has too little left (positional filter).
 3. Nodes meet by shingle. In small groups all pairs are candidates. A large group is first met by
-   stars around single nodes; then all pairs whose ends are not yet in one component are candidates,
-   so that no pair that could join two classes stays untested.
+   stars around single nodes, of components drawn anew in each round, for as long as rounds join
+   many components; then all pairs whose ends are not yet in one component are candidates, so that no pair
+   that could join two classes stays untested.
 4. Candidates differ in few of 256 parities of their hashes, which bounds the overlap from above. Of
    different pairs, longer sketches of parities, of two bits a shingle and more, are compared in the
    same way; they let through little below a similarity of 0.75. What is left is tested on the sets,
@@ -182,25 +183,38 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, size: int =
             test = test & c
         return groups.alias("a").join(groups.alias("b"), test).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
-    def star(groups: DataFrame, k: int) -> DataFrame:
-        """Every node with the group's node that comes first in the order of round k."""
-        hub = groups.groupBy("shingle").agg(F.min_by(F.struct("node", "size", "pos", *PARITIES), F.xxhash64("node", F.lit(k))).alias("a"))
+    def star(groups: DataFrame, *orders: int) -> DataFrame:
+        """For each order, the nodes of a group with that of its first component's first node. Groups have
+        eight orders at a time, so that groups of the same nodes do not all draw the same one."""
+        drawn = lambda k: F.struct(F.xxhash64("component", F.lit(k), F.col("shingle") % 8), F.xxhash64("node", F.lit(k)))
+        end = F.struct("node", "size", "pos", "component", *PARITIES)
+        hubs = groups.groupBy("shingle").agg(F.array_distinct(F.array(*[F.min_by(end, drawn(k)) for k in orders])).alias("hubs"))
         ends = F.col("a.node"), F.col("b.node")
-        return groups.alias("b").join(hub, "shingle").where((ends[0] != ends[1]) & could_pass(least)).select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v"))
+        met = groups.alias("b").join(hubs.select("shingle", F.explode("hubs").alias("a")), "shingle")
+        return met.where((F.col("a.component") != F.col("b.component")) & could_pass(least)).select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v"))
 
-    edges = passing(star(met.where("n > 2"), 0), nodes, sketches, rows, size, least, scratch, "0")
-    left = met
-    for k in range(1, stars + 2):
+    edges = passing(star(met.where("n > 2").withColumn("component", F.col("node")), 0), nodes, sketches, rows, size, least, scratch, "0")
+    left, before, k = met, 0, 0
+    while True:
+        k += 1
         of = connected_components(edges, Scratch(docs.sparkSession, f"jaccard-{k}"))
-        if k > stars:
+        if before == "final":
             break
         known = left.join(of.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(*left.columns, F.coalesce("component", "node").alias("component"))
         split = known.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
         known = scratch.save(known.join(split, "shingle", "left_semi"), f"open-{k}")
+        scratch.drop(f"open-{k - 1}")
         if known.isEmpty():
             break
+        # pairs that are apart, and components, over the large groups
+        sums = known.where(F.col("n") > small).groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"))
+        apart_pairs, members = sums.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.sum("n")).first()
+        state = known.where(F.col("n") > small).select("component").distinct().count()
         apart = F.col("a.component") != F.col("b.component")
-        pairs = all_pairs(known, apart) if k == stars else all_pairs(known.where(F.col("n") <= small), apart).union(star(known.where(F.col("n") > small), k))
+        if k >= stars and (before - state < state / 50 or (apart_pairs or 0) <= 2 * (members or 0)):
+            before, pairs = "final", all_pairs(known, apart)
+        else:
+            before, pairs = state, all_pairs(known.where(F.col("n") <= small), apart).union(star(known.where(F.col("n") > small), 2 * k, 2 * k + 1))
         edges = edges.union(passing(pairs, nodes, sketches, rows, size, least, scratch, str(k)))
         left = known.where(F.col("n") > small).drop("component")
     of = scratch.save(of.withColumnRenamed("node", "_node"), "components")

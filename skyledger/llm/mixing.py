@@ -11,8 +11,8 @@ of it fits. The cut is found without sorting a source: sizes are summed by the l
 ten more in each round, until the bucket in which the budget ends is small for every source, whatever
 the weights; only that one is sorted. Then a document needs no more than its source's cut.
 
-The weight is a document's quality: how near the mean length of its words is to five characters, times
-the share of its characters that are not digits or punctuation, each between 0.1 and 1.
+The weight is a document's quality as far as sizes tell it: how near the mean length of its words is to
+five characters, times size / (size + 20), which prefers whole texts to scraps; each between 0.1 and 1.
 
 Cases: null text has size 0 and is never missed or counted; a null source is a source; null ids are
 hashed as empty text; repeated rows share key and fate; an empty table gives an empty result; a
@@ -36,17 +36,10 @@ def word_count(text_col: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-#: What is not counted as a letter or blank, for the quality weight.
-MARKS = "0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~"
-
-
 def quality_weight(text_col: str, size: Column) -> Column:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    length = F.length(text)
+    length = F.length(F.coalesce(F.col(text_col), F.lit("")))
     mean = length / F.greatest(size, F.lit(1)) - 1
-    letters = F.length(F.translate(text, MARKS, "")) / F.greatest(length, F.lit(1))
-    bounded = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.1), x))
-    return bounded(1 - F.abs(mean - 5) / 10) * bounded(letters * 2 - F.lit(0.8))
+    return F.greatest(F.lit(0.1), 1 - F.abs(mean - 5) / 10) * F.greatest(F.lit(0.1), size / (size + F.lit(20.0)))
 
 
 def sampling_columns(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -143,7 +136,7 @@ OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 k AS (SELECT doc_id, source, size,
         -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
-        / (least(1.0, greatest(0.1, 1 - abs(CAST(length(t) AS DOUBLE) / greatest(size, 1) - 1 - 5) / 10)) * least(1.0, greatest(0.1, CAST(length(translate(t, '""" + MARKS + r"""', '')) AS DOUBLE) / greatest(length(t), 1) * 2 - 0.8))) AS key FROM d),
+        / (greatest(0.1, 1 - abs(CAST(length(t) AS DOUBLE) / greatest(size, 1) - 1 - 5) / 10) * greatest(0.1, CAST(size AS DOUBLE) / (size + 20.0))) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, ([3.0, 1.0, 2.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
 r AS (SELECT source, source_size, CAST(w AS DOUBLE) AS w, 2 * source_size AS cap, 2 * source_size / CAST(w AS DOUBLE) AS ratio FROM s),
 l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
