@@ -22,8 +22,9 @@ def scan(got: text.Reading, verbose: bool) -> list[DataFrame]:
     usual = got.epochs.where(F.col("flag").isin("0", "1")).select("file", "epoch_idx")
     obs = got.observations.join(usual, ["file", "epoch_idx"], "left_semi")
     every = got.epochs.select("file").unionAll(got.events.select("file"))
-    out = an.scan_summary(obs, every).drop("sysobs").join(blank, "file", "left")
-    out = out.select(F.col("file").alias("filename"), "epochs", "maxobs", "maxsats", F.coalesce("sysobs", F.lit(0)).alias("sysobs"), "satobs", "totobs", "maxepochs")
+    out = got.headers.select("file").distinct().join(an.scan_summary(obs, every).drop("sysobs"), "file", "left").join(blank, "file", "left")
+    numbers = ["epochs", "maxobs", "maxsats", "sysobs", "satobs", "totobs", "maxepochs"]  # a file without a record has its line, too
+    out = out.select(F.col("file").alias("filename"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers])
     detail = got.epochs.select("file", "epoch_idx", "date", "hh_mm", "sec_e7").join(an.epoch_counts(obs), ["file", "epoch_idx"]).orderBy("file", "epoch_idx")
     return [detail, out] if verbose else [out]
 
@@ -59,9 +60,7 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "unpack":
         text.write_text(convert.unpack(spark, a.files[0]), a.out)
         return 0
-    files = spark.createDataFrame([("-", sys.stdin.read())], "file string, content string") if a.files == ["-"] else text.read_files(spark, *a.files)
-    recs = text.records(files).persist()
-    got = text.Reading(recs)
+    got = text.read_text(spark, *([text.spool(spark)] if a.files == ["-"] else a.files))
     if a.command == "pack":
         print(convert.pack(got, a.out))
     for k, df in enumerate([] if a.command == "pack" else COMMANDS[a.command](got, a.verbose)):
@@ -74,7 +73,6 @@ def main(args: list[str] | None = None) -> int:
     bad = got.parse_errors.orderBy("file", "line_no")
     for r in bad.toLocalIterator():
         print(f"{r['file']}:{r['line_no']}: {r['error']} ({r['reason']})", file=sys.stderr)
-    recs.unpersist()
     return 0
 
 

@@ -36,14 +36,18 @@ def parse_uint(text: Column | str) -> Column:
 
 
 def obs_value(field: Column) -> Column:
-    """F14.3 at the start of a 16-character field, times 1000; blank digits behind the point are zeros."""
-    return parse_fixed(F.substring(field, 1, 14), 3)
+    """F14.3 at the start of a 16-character field, times 1000, without a regular expression: the point
+    is the 11th character; blank digits behind it, after the others, are zeros; no plus."""
+    frac = F.rpad(F.rtrim(F.substring(field, 12, 3)), 3, "0")
+    number = F.concat(F.ltrim(F.substring(field, 1, 10)), frac)
+    good = (F.substring(field, 11, 1) == ".") & ~F.contains(number, F.lit(" ")) & ~F.contains(number, F.lit("+"))
+    return F.when(good, number.try_cast("bigint"))
 
 
 def obs_struct(field: Column) -> Column:
     """value_e3, lli, ssi of a field padded to 16 characters; null for a blank field."""
     f = F.rpad(field, 16, " ")
-    return F.when(F.trim(f) != "", F.struct(obs_value(f).alias("value_e3"), F.substring(f, 15, 1).alias("lli"), F.substring(f, 16, 1).alias("ssi")))
+    return F.when(f != " " * 16, F.struct(obs_value(f).alias("value_e3"), F.substring(f, 15, 1).alias("lli"), F.substring(f, 16, 1).alias("ssi")))
 
 
 def render_obs(value_e3: Column, lli: Column, ssi: Column) -> Column:

@@ -23,36 +23,35 @@ def signal_window() -> W:
     return W.partitionBy(*SIGNAL).orderBy("epoch_idx")
 
 
-#: Codes of one system are kept as bits of so many longs, 63 in each.
-WORDS = 3
-
-
-def by_satellite_and_epoch(obs: DataFrame) -> DataFrame:
-    """(file, epoch_idx, sv, n, m0..): observations that are present, counted and as bits of their codes."""
-    bit = lambda k: F.when(is_present() & F.col("code_idx").between(63 * k, 63 * k + 62), F.expr(f"shiftleft(1L, code_idx - {63 * k})"))
-    masks = [F.coalesce(F.bit_or(bit(k)), F.lit(0)).cast("bigint").alias(f"m{k}") for k in range(WORDS)]
-    return obs.groupBy("file", "epoch_idx", "sv").agg(F.count(F.when(is_present(), 1)).alias("n"), *masks)
+def by_word(obs: DataFrame) -> DataFrame:
+    """(file, epoch_idx, sv, word, n, mask): observations that are present, counted and as bits of their
+    codes, 63 to a word; so codes may have any index."""
+    bit = F.when(is_present(), F.expr("shiftleft(1L, code_idx % 63)"))
+    rows = obs.withColumn("word", F.floor(F.col("code_idx") / 63).cast("int"))
+    return rows.groupBy("file", "epoch_idx", "sv", "word").agg(F.count(F.when(is_present(), 1)).alias("n"), F.coalesce(F.bit_or(bit), F.lit(0)).cast("bigint").alias("mask"))
 
 
 def epoch_counts(obs: DataFrame) -> DataFrame:
     """(file, epoch_idx, n_sats, n_obs): satellites in the epoch, and observations that are present."""
-    return by_satellite_and_epoch(obs).groupBy("file", "epoch_idx").agg(F.count("*").alias("n_sats"), F.sum("n").alias("n_obs"))
+    by_sat = obs.groupBy("file", "epoch_idx", "sv").agg(F.count(F.when(is_present(), 1)).alias("n"))
+    return by_sat.groupBy("file", "epoch_idx").agg(F.count("*").alias("n_sats"), F.sum("n").alias("n_obs"))
 
 
 def scan_summary(obs: DataFrame, epochs: DataFrame | None = None, sysobs: Column | None = None) -> DataFrame:
     """A row a file. epochs(file): every record, for files with records that hold no observation.
 
-    Epochs and satellites are both summed up from the same rows by satellite and epoch.
+    Epochs, satellites and codes are all summed up from the same rows by satellite, epoch and word of codes.
     """
-    base = by_satellite_and_epoch(obs)
-    by_epoch = base.groupBy("file", "epoch_idx").agg(F.count("*").alias("n_sats"), F.sum("n").alias("n_obs"))
+    base = by_word(obs)
+    by_sv = base.groupBy("file", "epoch_idx", "sv").agg(F.sum("n").alias("n"))
+    by_epoch = by_sv.groupBy("file", "epoch_idx").agg(F.count("*").alias("n_sats"), F.sum("n").alias("n_obs"))
     seen = by_epoch.groupBy("file").agg(F.count("*").alias("n"), F.max("n_obs").alias("maxobs"), F.max("n_sats").alias("maxsats"), F.sum("n_obs").alias("totobs"))
-    by_sat = base.groupBy("file", "sv").agg(F.count("*").alias("epochs"), *[F.bit_or(f"m{k}").alias(f"m{k}") for k in range(WORDS)])
-    codes = sum(F.bit_count(f"m{k}") for k in range(WORDS))
-    sats = by_sat.groupBy("file").agg(F.sum(codes).cast("bigint").alias("satobs"), F.max("epochs").alias("maxepochs"))
-    out = seen.join(sats, "file")
-    out = out.withColumn("epochs", F.col("n")) if epochs is None else out.join(epochs.groupBy("file").agg(F.count("*").alias("epochs")), "file")
-    return out.select("file", "epochs", "maxobs", "maxsats", (sysobs if sysobs is not None else F.lit(0)).alias("sysobs"), "satobs", "totobs", "maxepochs")
+    longest = by_sv.groupBy("file", "sv").agg(F.count("*").alias("epochs")).groupBy("file").agg(F.max("epochs").alias("maxepochs"))
+    codes = base.groupBy("file", "sv", "word").agg(F.bit_or("mask").alias("mask")).groupBy("file").agg(F.sum(F.bit_count("mask")).cast("bigint").alias("satobs"))
+    out = seen.join(longest, "file").join(codes, "file")
+    out = out.withColumn("epochs", F.col("n")) if epochs is None else epochs.groupBy("file").agg(F.count("*").alias("epochs")).join(out, "file", "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return out.select("file", "epochs", number("maxobs"), number("maxsats"), (sysobs if sysobs is not None else F.lit(0)).alias("sysobs"), *map(number, ("satobs", "totobs", "maxepochs")))
 
 
 def satellites_by_system(obs: DataFrame) -> DataFrame:
@@ -87,10 +86,8 @@ def code_count_histogram(obs_types: DataFrame, bins: int = 128) -> DataFrame:
 
 
 def presence_masks(obs: DataFrame) -> DataFrame:
-    """Codes ever present by satellite, as bits; for codes of index 0 to 62."""
-    bit = F.when(is_present(), F.expr("shiftleft(1L, code_idx)"))
-    mask = F.coalesce(F.bit_or(bit), F.lit(0)).cast("bigint")
-    return obs.groupBy("file", "sv").agg(mask.alias("mask")).withColumn("n_codes", F.bit_count("mask"))
+    """(file, sv, word, mask, n_codes): codes ever present by satellite, as bits, 63 to a word."""
+    return by_word(obs).groupBy("file", "sv", "word").agg(F.bit_or("mask").alias("mask")).withColumn("n_codes", F.bit_count("mask"))
 
 
 def presence_runs(obs: DataFrame) -> DataFrame:

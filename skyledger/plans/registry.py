@@ -10,6 +10,7 @@ from skyledger.functions import fields as fn
 from skyledger.operators import analytics as an
 from skyledger.plans import view
 from skyledger.plans.view import CODES, NAMES, SQL, SYSTEMS, observations, raw
+from skyledger.scratch import Scratch
 from skyledger.sources import compact, text
 
 QUERIES: dict = {}
@@ -29,8 +30,8 @@ def query(sql: str | None = None):
 
 
 def daily(obs: DataFrame) -> DataFrame:
-    """Observations in files of a day each: file `d000`, `d001`, …"""
-    return obs.withColumn("file", F.format_string("d%03d", F.floor(F.col("hour") / 24) % 1000))
+    """Observations in files of a day each, named by the day's number."""
+    return obs.withColumn("file", F.format_string("d%05d", F.floor(F.col("hour") / 24)))
 
 
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +110,7 @@ def obs_code_count_hist(spark, sf_dir):
     return an.code_count_histogram(types(spark, sf_dir))
 
 
-@query("""SELECT file, sv, coalesce(bit_or(CAST(1 AS BIGINT) << code_idx) FILTER (WHERE value_e3 <> 0), 0) AS mask,
+@query("""SELECT file, sv, 0 AS word, coalesce(bit_or(CAST(1 AS BIGINT) << code_idx) FILTER (WHERE value_e3 <> 0), 0) AS mask,
 CAST(bit_count(coalesce(bit_or(CAST(1 AS BIGINT) << code_idx) FILTER (WHERE value_e3 <> 0), 0)) AS INTEGER) AS n_codes FROM o GROUP BY file, sv""")
 def obs_presence_mask(spark, sf_dir):
     return an.presence_masks(observations(spark, sf_dir))
@@ -264,7 +265,7 @@ def obs_sat_reorder(spark, sf_dir):
     return an.satellite_order(observations(spark, sf_dir))
 
 
-@query(""", t AS (SELECT DISTINCT 'd' || lpad(CAST((hour // 24) % 1000 AS VARCHAR), 3, '0') AS file, sys, code FROM o)
+@query(""", t AS (SELECT DISTINCT 'd' || lpad(CAST(hour // 24 AS VARCHAR), 5, '0') AS file, sys, code FROM o)
 SELECT a.file, a.sys, a.code FROM (SELECT DISTINCT file, sys, unnest(['click', 'signup', 'L1X', 'refund']) AS code FROM t) a ANTI JOIN t USING (file, sys, code)""")
 def obs_unknown_codes(spark, sf_dir):
     return an.unknown_codes(types(spark, sf_dir), ["click", "signup", "L1X", "refund"])
@@ -305,8 +306,6 @@ def obs_parse_errors(spark, sf_dir):
 @query(IDENTITY + " WHERE value_e3 <> 0 OR lli <> ' ' OR ssi <> ' '")
 def signal_store_roundtrip(spark, sf_dir):
     """The view written to binary files of a day each, with digests, and read back through the data source."""
-    import tempfile
-
     from skyledger.sources import signal_store as store
 
     obs = daily(observations(spark, sf_dir))
@@ -316,8 +315,7 @@ def signal_store_roundtrip(spark, sf_dir):
     head = "\n".join(text.header_lines(3, NAMES[3], SYSTEMS)) + "\n"
     coded = obs.withColumn("code", F.element_at(F.array(*map(F.lit, NAMES[3])), F.col("code_idx") + 1))
     headers = obs.select("file").distinct().withColumn("text", F.lit(head))
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skyledger-")).rstrip("/")
-    path = f"{base}/stores-{abs(hash(sf_dir))}-{spark.sparkContext.applicationId}"
+    path = Scratch(spark, "stores").path("stores")
     store.write_stores(store.encode_stores(coded, epochs, headers, chunk_digest=2, file_digest=6), path)
     store.register(spark)
     load = lambda table: spark.read.format("signalstore").option("table", table).load(path)

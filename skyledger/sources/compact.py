@@ -34,37 +34,50 @@ def fill_flags(init: Column, char: Column, window) -> Column:
     return F.last(said, ignorenulls=True).over(window)
 
 
-def decode_compact(recs: DataFrame, types: DataFrame, max_order: int = 5) -> DataFrame:
-    """Observations of compact records. max_order: the highest order in use, up to 9."""
-    rows = recs.where((F.col("kind") == "obs") & F.col("compact")).select("file", "version", "epoch_idx", "init", F.posexplode("lines").alias("sv_pos", "line"))
-    system = F.when(F.substring("line", 1, 1) == " ", "G").otherwise(F.substring("line", 1, 1))
-    prn = parse_uint(F.substring("line", 2, 2))
-    rows = rows.withColumns({"sys": system, "prn": prn, "text": F.substring("line", 4, 1 << 20)}).withColumn("sv", F.concat("sys", F.lpad(F.col("prn").cast("string"), 2, "0")))
+def decode_compact(recs: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
+    """Observations of compact records. max_order: the highest order in use; the format knows 9."""
+    rows = recs.where((F.col("kind") == "obs") & F.col("compact")).select("file", "version", "epoch_idx", "init", "codes", F.posexplode("lines").alias("sv_pos", "line"))
+    system, prn = F.substring("line", 1, 1), parse_uint(F.substring("line", 2, 2))
+    rows = rows.withColumns({"sys": system, "prn": prn, "text": F.substr("line", F.lit(4))}).withColumn("sv", F.concat("sys", F.lpad(F.col("prn").cast("string"), 2, "0")))
     # passes: stretches in which a satellite is in every epoch, none of them initial but the first
     w = W.partitionBy("file", "sv").orderBy("epoch_idx")
     fresh = F.col("init") | (F.lag("epoch_idx").over(w) + 1 != F.col("epoch_idx")) | F.lag("epoch_idx").over(w).isNull()
     rows = rows.withColumn("fresh", fresh).withColumn("pass", F.sum(F.col("fresh").cast("int")).over(w))
-    lists = types.groupBy("file", F.col("sys").alias("list")).agg(F.array_sort(F.collect_list(F.struct("code_idx", "code"))).alias("codes"))
-    rows = rows.withColumn("list", F.when(F.col("version") == "2", " ").otherwise(F.col("sys"))).join(lists, ["file", "list"])
-    n = F.size("codes")
+    names = F.split(F.element_at(F.str_to_map("codes", F.lit(";"), F.lit(":")), F.when(F.col("version") == "2", " ").otherwise(F.col("sys"))), ",")
+    n = F.size("names")
     tokens = F.split("text", " ")  # n values, each followed by a blank; the rest are indicators, blanks included
-    flags = F.array_join(F.slice(tokens, n + 1, F.greatest(F.size(tokens) - n, F.lit(0))), " ")
-    rows = rows.withColumns({"tokens": tokens, "flags": flags})
-    items = F.transform("codes", lambda c, j: F.struct(c["code_idx"].alias("code_idx"), c["code"].alias("code"), F.get("tokens", j).alias("token"), F.substring(F.col("flags"), 2 * j + 1, F.lit(1)).alias("l"), F.substring(F.col("flags"), 2 * j + 2, F.lit(1)).alias("s")))
-    long = rows.select("file", "epoch_idx", "sv_pos", "sys", "prn", "sv", "fresh", "pass", F.explode(items).alias("x")).select("*", "x.*").drop("x")
+    flags = F.array_join(F.slice("tokens", n + 1, F.greatest(F.size("tokens") - n, F.lit(0))), " ")
+    rows = rows.withColumns({"names": names, "tokens": tokens}).withColumn("flags", flags)
+    items = F.transform("names", lambda c, j: F.struct(j.alias("code_idx"), c.alias("code"), F.get("tokens", j).alias("token"), F.substring(F.col("flags"), 2 * j + 1, F.lit(1)).alias("l"), F.substring(F.col("flags"), 2 * j + 2, F.lit(1)).alias("s")))
+    long = rows.select("file", "epoch_idx", "sv_pos", "sys", "prn", "sv", "fresh", "pass", F.explode(items).alias("x")).select("*", "x.*").drop("x").where("code <> ''")
     signal = W.partitionBy("file", "sv", "pass", "code_idx").orderBy("epoch_idx")
     l, s = (F.nullif(F.col(c), F.lit("")) for c in ("l", "s"))
-    long = long.withColumns({"lli": fill_flags(F.col("fresh"), l, signal), "ssi": fill_flags(F.col("fresh"), s, signal), "what": crx_kind(F.col("token"))})
-    # an arc runs from its start to the next start, gap or bad field
-    long = long.withColumn("arc", F.sum(F.when(F.col("what") == "delta", 0).otherwise(1)).over(signal))
-    arc = ["file", "sv", "pass", "code_idx", "arc"]
-    within = W.partitionBy(*arc).orderBy("epoch_idx")
-    long = long.withColumns({
-        "n": F.first(F.when(F.col("what") == "start", F.substring("token", 1, 1).try_cast("int"))).over(within),
+    long = long.withColumns({"lli": fill_flags(F.col("fresh"), l, signal), "ssi": fill_flags(F.col("fresh"), s, signal)})
+    return undo_arcs(long, ["file", "sv", "pass", "code_idx"], "token", max_order).withColumn("value_e3", F.col("value"))
+
+
+def undo_arcs(rows: DataFrame, keys: list[str], token: str, max_order: int = MAX_ORDER) -> DataFrame:
+    """Adds `value`, for the rows that have one: keys name a sequence by epoch_idx, token its fields. An
+    arc runs from its start to the next start, gap or bad field."""
+    sequence = W.partitionBy(*keys).orderBy("epoch_idx")
+    rows = rows.withColumn("what", crx_kind(F.col(token)))
+    rows = rows.withColumn("arc", F.sum(F.when(F.col("what") == "delta", 0).otherwise(1)).over(sequence))
+    within = W.partitionBy(*keys, "arc").orderBy("epoch_idx")
+    rows = rows.withColumns({
+        "n": F.first(F.when(F.col("what") == "start", F.substring(token, 1, 1).try_cast("int"))).over(within),
         "k": F.row_number().over(within) - 1,
-        "item": F.when(F.col("what") == "start", crx_int(F.substring("token", 3, 40))).otherwise(crx_int(F.col("token"))),
+        "item": F.when(F.col("what") == "start", crx_int(F.substr(token, F.lit(3)))).otherwise(crx_int(F.col(token))),
     }).where("n is not null and item is not null")
-    return undo_differences(long, arc, "epoch_idx", "item", "n", "k", max_order).withColumn("value_e3", F.col("value"))
+    return undo_differences(rows, [*keys, "arc"], "epoch_idx", "item", "n", "k", max_order)
+
+
+def decode_clock(epochs: DataFrame) -> DataFrame:
+    """Adds clock_offset_e12 to compact epochs(file, version, epoch_idx, init, clock, …): the clock line
+    is an arc by file; version 2 has nine decimals. Windows hold a row an epoch."""
+    init = F.sum(F.col("init").cast("int")).over(W.partitionBy("file").orderBy("epoch_idx"))
+    found = undo_arcs(epochs.select("file", "epoch_idx", "clock", init.alias("pass")), ["file", "pass"], "clock")
+    value = F.col("value") * F.when(F.col("version") == "2", 1000).otherwise(1)
+    return epochs.join(found.select("file", "epoch_idx", "value"), ["file", "epoch_idx"], "left").withColumn("clock_offset_e12", value).drop("value")
 
 
 def encode_items(obs: DataFrame, keys: list[str], order_by: str, value: str, order: int) -> DataFrame:
@@ -77,42 +90,55 @@ def encode_items(obs: DataFrame, keys: list[str], order_by: str, value: str, ord
     return out.withColumn("item", item).drop(*[f"_d{i}" for i in range(1, order + 1)])
 
 
-def compact_text(epochs: list[tuple[str, dict[str, list[tuple[int, str, str] | None]]]], version: int, order: int = 3) -> list[str]:
-    """Compact lines of epochs [(epoch line without satellites, {sv: fields})], in Python, for writing
-    files and for tests. A field is (value_e3, lli, ssi) or None."""
-    out, last_line, states, seen = [], None, {}, set()
-    for head, sats in epochs:
+class Arc:
+    """Turns the numbers of one sequence into tokens."""
+
+    def __init__(self, order: int):
+        self.order, self.levels = order, None
+
+    def token(self, value: int | None) -> str:
+        if value is None:
+            self.levels = None
+            return ""
+        if self.levels is None:
+            self.levels = [value]
+            return f"{self.order}&{value}"
+        levels = [value]
+        for before in self.levels[: self.order]:
+            levels.append(levels[-1] - before)
+        self.levels = levels
+        return str(levels[-1])
+
+
+def changes(old: str, new: str) -> str:
+    """Blank where nothing changes, & where a blank comes, else the new character."""
+    size = max(len(old), len(new))
+    return "".join(" " if a == b else "&" if b == " " else b for a, b in zip(old.ljust(size), new.ljust(size), strict=True))
+
+
+def compact_text(epochs: list[tuple], version: int, order: int = 3) -> list[str]:
+    """Compact lines of epochs, in Python, for writing files and for tests. An epoch is (epoch line
+    without satellites, {sv: fields}), with a third item for the clock offset as a whole number or
+    None; a field is (value_e3, lli, ssi) or None. An event is (event line, list of its lines): it is
+    written as it is, and the next epoch begins anew."""
+    out, last_line, arcs, flags, clock = [], None, {}, {}, Arc(order)
+    for head, sats, *more in epochs:
+        if isinstance(sats, list):
+            out += ["&" + head[1:] if version == 2 else head, *sats]
+            last_line = None
+            continue
         full = head.ljust(32 if version == 2 else 41) + "".join(sats)
         if last_line is None:
             out.append("&" + full[1:] if version == 2 else full)
+            arcs, flags, clock = {}, {}, Arc(order)
         else:
-            size = max(len(full), len(last_line))
-            pairs = zip(last_line.ljust(size), full.ljust(size), strict=True)
-            out.append("".join(" " if a == b else "&" if b == " " else b for a, b in pairs).rstrip())
+            out.append(changes(last_line, full).rstrip())
         last_line = full
-        out.append("")
+        out.append(clock.token(more[0] if more else None))
+        arcs, flags = {sv: arcs.get(sv) or [Arc(order) for _ in fields] for sv, fields in sats.items()}, {sv: flags.get(sv, "") for sv in sats}
         for sv, fields in sats.items():
-            if sv not in seen:
-                states[sv] = [{"arc": None, "flags": "  ", "first": True} for _ in fields]
-            tokens, flags = [], ""
-            for state, x in zip(states[sv], fields, strict=True):
-                if x is None:
-                    tokens.append("")
-                    state["arc"], new = None, "  "
-                else:
-                    value, new = x[0], x[1] + x[2]
-                    if state["arc"] is None:
-                        state["arc"] = [value]
-                        tokens.append(f"{order}&{value}")
-                    else:
-                        diffs, d = [value], value
-                        for prev in state["arc"][:order]:
-                            d = d - prev
-                            diffs.append(d)
-                        tokens.append(str(diffs[min(len(state["arc"]), order)]))
-                        state["arc"] = diffs[: order + 1] if len(state["arc"]) >= order else diffs
-                flags += "".join(" " if a == b else "&" if b == " " else b for a, b in zip(state["flags"], new, strict=True))
-                state["flags"] = new
-            out.append((" ".join(tokens) + " " + flags).rstrip())
-        seen = set(sats)
+            tokens = [arc.token(None if x is None else x[0]) for arc, x in zip(arcs[sv], fields, strict=True)]
+            new = "".join("  " if x is None else x[1] + x[2] for x in fields)
+            out.append((" ".join(tokens) + " " + changes(flags[sv], new)).rstrip())
+            flags[sv] = new
     return out

@@ -1,16 +1,17 @@
 """Cuts observation files into records: the one step that must go line by line.
 
 How many lines a record has follows from its first line and from the header, so a file is framed in
-order; files are framed in parallel. Everything inside a record is left to column expressions. Bad
+order; files are framed in parallel. Lines come piece by piece, and no more than a piece and a record
+is held, so files may have any size. Everything inside a record is left to column expressions. Bad
 records become error rows, and framing goes on at the next line that can begin a record.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-RECORD = "file string, version string, compact boolean, rec_idx bigint, epoch_idx bigint, line_no bigint, kind string, head string, init boolean, clock string, lines array<string>, error string, reason string"
+RECORD = "file string, version string, compact boolean, rec_idx bigint, epoch_idx bigint, line_no bigint, kind string, head string, init boolean, clock string, codes string, lines array<string>, error string, reason string"
 OBS, EVENT, ERROR, HEADER = "obs", "event", "error", "header"
 PLAIN, COMPACT, END, TYPES2, TYPES3 = "RINEX VERSION / TYPE", "CRINEX VERS   / TYPE", "END OF HEADER", "# / TYPES OF OBSERV", "SYS / # / OBS TYPES"  # labels fixed by the format
 
@@ -27,22 +28,33 @@ def uint(text: str) -> int | None:
     return None if not UINT.match(text) else int(text) if text.strip() else 0
 
 
-def counts(header: list[str], version: str) -> dict[str, int] | None:
-    """Number of codes by system; version 2 has one list for all, under its own and the usual names."""
-    out: dict[str, int] = {}
-    for line in header:
-        if version == "2" and label(line) == TYPES2:
-            n = uint(line[:6])
-            if n is None:
-                return None
-            if n:
-                out |= dict.fromkeys(" GRSECJIM", n)
-        elif version != "2" and label(line) == TYPES3 and line[:1] != " ":
-            n = uint(line[3:6])
-            if n is None:
-                return None
-            out[line[0]] = n
-    return out or None
+def code_lists(header: list[str], version: str) -> tuple[dict[str, int], dict[str, list[str]]] | None:
+    """Number of codes and their names by system. Version 2 has one list, for the systems that column
+    40 of the first line names: one, or with M all; blank there and in a satellite's name is G."""
+    number: dict[str, int] = {}
+    names: dict[str, list[str]] = {}
+    if version == "2":
+        letter, n = header[0][40:41], 0
+        for line in header:
+            if label(line) == TYPES2:
+                got = uint(line[:6])
+                if got is None:
+                    return None
+                n = got or n
+                names.setdefault(" ", []).extend(line[10 + 6 * j : 12 + 6 * j].strip() for j in range(9))
+        systems = " GRSECJIM" if letter == "M" else " G" if letter in " G" else letter
+        number = dict.fromkeys(systems, n) if n else {}
+    else:
+        system = ""
+        for line in header:
+            if label(line) == TYPES3:
+                if line[:1] != " ":
+                    system, got = line[0], uint(line[3:6])
+                    if got is None:
+                        return None
+                    number[system] = got
+                names.setdefault(system, []).extend(line[7 + 4 * j : 10 + 4 * j].strip() for j in range(13))
+    return (number, names) if number else None
 
 
 def head2(line: str) -> tuple[str, int] | None:
@@ -79,138 +91,188 @@ def repaired(old: str, new: str) -> str:
     return "".join(a if b == " " else " " if b == "&" else b for a, b in pairs).rstrip()
 
 
+SATELLITE = re.compile(r"[A-Z][ 0-9][0-9]").match
+
+
+def pieces_of(text: str) -> Iterator[list[str]]:
+    """The lines of a whole text."""
+    lines = text.split("\n")
+    if lines[-1] == "":
+        lines.pop()
+    yield [x.rstrip("\r") for x in lines] if "\r" in text else lines
+
+
+def pieces_from(stream, size: int = 4 << 20) -> Iterator[list[str]]:
+    """The lines of a binary stream, read in pieces."""
+    rest = b""
+    while data := stream.read(size):
+        lines = (rest + data).split(b"\n")
+        rest = lines.pop()
+        if lines:
+            text = b"\n".join(lines).decode("utf-8", "replace")
+            yield [x.rstrip("\r") for x in text.split("\n")] if "\r" in text else text.split("\n")
+    if rest:
+        yield [rest.decode("utf-8", "replace").rstrip("\r")]
+
+
 class Framer:
-    def __init__(self, file: str, text: str):
-        self.file, self.lines, self.at = file, text.split("\n"), 0
-        if self.lines and self.lines[-1] == "":
-            self.lines.pop()
-        self.lines = [x.rstrip("\r") for x in self.lines]
+    def __init__(self, file: str, pieces: str | Iterable[list[str]]):
+        self.file, self.more = file, iter(pieces_of(pieces) if isinstance(pieces, str) else pieces)
+        self.lines: list[str] = []
+        self.at = self.base = 0  # the next line's place in lines, and the number of lines[0]
         self.rec = self.epoch = -1
-        self.version, self.compact = None, False
+        self.version, self.compact, self.codes = None, False, None
+
+    def fill(self, n: int) -> bool:
+        """Whether n more lines are there."""
+        while len(self.lines) - self.at < n:
+            piece = next(self.more, None)
+            if piece is None:
+                return False
+            self.base += self.at
+            self.lines = self.lines[self.at :] + piece
+            self.at = 0
+        return True
+
+    def resync(self, begins) -> None:
+        """On to the next line that can begin a record."""
+        while self.fill(1) and not begins(self.lines[self.at]):
+            self.at += 1
 
     def row(self, kind: str, line_no: int, **more) -> dict:
         if kind in (OBS, EVENT):
             self.rec += 1
         if kind == OBS:
             self.epoch += 1
-        return {"file": self.file, "version": self.version, "compact": self.compact, "rec_idx": max(self.rec, 0) if kind != HEADER else -1, "epoch_idx": self.epoch + (kind == EVENT) if kind in (OBS, EVENT) else None, "line_no": line_no + 1, "kind": kind, "init": False, "lines": []} | more
+        return {"file": self.file, "version": self.version, "compact": self.compact, "rec_idx": max(self.rec, 0) if kind != HEADER else -1, "epoch_idx": self.epoch + (kind == EVENT) if kind in (OBS, EVENT) else None, "line_no": line_no + 1, "kind": kind, "init": False, "lines": [], "codes": self.codes if kind == OBS else None} | more
 
     def bad(self, line_no: int, reason: str) -> dict:
         self.rec += 1
         return self.row(ERROR, line_no, error="BAD_FORMAT", reason=reason)
 
     def rows(self) -> Iterator[dict]:
-        if not self.lines or label(self.lines[0]) not in (PLAIN, COMPACT):
+        if not self.fill(1) or label(self.lines[0]) not in (PLAIN, COMPACT):
             yield self.row(ERROR, 0, error="UNSUPPORTED", reason="unrecognized file format")
             return
         start = 0
         if label(self.lines[0]) == COMPACT:
             self.compact = True
+            self.fill(10)
             inner = next((i for i, x in enumerate(self.lines[:10]) if label(x) == PLAIN), None)
             container = self.lines[0][:20].strip()
             if inner is None or self.lines[0][20:40].rstrip() != "COMPACT RINEX FORMAT" or container != {"2": "1.0"}.get(self.lines[inner].strip()[:1], "3.0"):
                 yield self.row(ERROR, 0, error="UNSUPPORTED", reason="compact container does not fit its content")
                 return
             start = inner
-        first = self.lines[start]
-        end = next((i for i, x in enumerate(self.lines) if label(x) == END), None)
+        first, end = self.lines[start], start
+        while self.fill(end + 1) and label(self.lines[end]) != END:
+            end += 1
         self.version = first.strip()[:1] if first[:5] == "     " and first[5:7] in ("2.", "3.", "4.") else None
-        if end is None or self.version is None or first[20:21] != "O":
+        if not self.fill(end + 1) or self.version is None or first[20:21] != "O":
             yield self.row(ERROR, 0, error="UNSUPPORTED", reason="version, type or end of header")
             return
         header = self.lines[start : end + 1]
         if any(not 60 < len(x) <= 80 for x in header):
             yield self.row(ERROR, 0, error="BAD_FORMAT", reason="length of a header line")
             return
-        self.n_obs = counts(header, self.version)
+        found = code_lists(header, self.version)
         yield self.row(HEADER, start, lines=header)
-        if self.n_obs is None:
+        if found is None:
             yield self.row(ERROR, 0, error="BAD_FORMAT", reason="observation types")
             return
+        self.n_obs, names = found
+        self.limit = {s: 3 + 16 * n for s, n in self.n_obs.items()}
+        self.blank = "G" if self.n_obs.keys() >= {"G"} else next(iter(self.n_obs))
+        self.codes = ";".join(f"{s}:{','.join(x[: self.n_obs.get(s) or max(self.n_obs.values())])}" for s, x in names.items() if s)
         self.at = end + 1
         yield from self.compact_records() if self.compact else self.records()
 
     def records(self) -> Iterator[dict]:
         parse = head2 if self.version == "2" else head3
-        while self.at < len(self.lines):
-            begin, got = self.at, parse(self.lines[self.at])
+        per = -(-max(self.n_obs.values()) // 5)
+        while self.fill(1):
+            begin, got = self.base + self.at, parse(self.lines[self.at])
             if got is None:
                 yield self.bad(begin, "epoch line")
                 self.at += 1
-                while self.at < len(self.lines) and parse(self.lines[self.at]) is None:
-                    self.at += 1
+                self.resync(parse)
                 continue
             flag, n = got
             if flag in "2345":
                 more = n
             elif self.version == "2":
-                more = max(1, -(-n // 12)) - 1 + n * -(-self.n_obs[" "] // 5)
+                more = max(1, -(-n // 12)) - 1 + n * per
             else:
                 more = n
-            block = self.lines[begin : begin + 1 + more]
-            if len(block) <= more:
+            if not self.fill(1 + more):
                 yield self.bad(begin, "end of file within a record")
                 return
+            block = self.lines[self.at : self.at + 1 + more]
             problem = None if flag in "2345" else self.problem(block, n)
             if problem:
                 yield self.bad(begin, problem)
-                self.at = begin + 1
-                while self.at < len(self.lines) and parse(self.lines[self.at]) is None:
-                    self.at += 1
+                self.at += 1
+                self.resync(parse)
                 continue
-            self.at = begin + 1 + more
+            self.at += 1 + more
             if flag in "2345":
                 yield self.row(EVENT, begin, head=block[0], lines=block)
             elif self.version == "2":
                 heads = max(1, -(-n // 12))
                 svs = "".join(x[32:68].ljust(36) for x in block[:heads])
-                per = -(-self.n_obs[" "] // 5)
                 body = ["".join(x[:80].ljust(80) for x in block[heads + k * per : heads + (k + 1) * per]) for k in range(n)]
-                yield self.row(OBS, begin, head=block[0], clock=block[0][68:].strip() if len(block[0]) > 70 else None, lines=[svs[3 * k : 3 * k + 3] + body[k] for k in range(n)])
+                yield self.row(OBS, begin, head=block[0], clock=block[0][68:].strip() if len(block[0]) > 70 else None, lines=[self.named(svs[3 * k : 3 * k + 3]) + body[k] for k in range(n)])
             else:
                 yield self.row(OBS, begin, head=block[0], clock=block[0][41:].strip() if len(block[0]) > 43 else None, lines=block[1:])
 
+    def named(self, name: str) -> str:
+        return self.blank + name[1:] if name[0] == " " else name
+
     def problem(self, block: list[str], n: int) -> str | None:
         if self.version == "2":
             svs = "".join(x[32:68].ljust(36) for x in block[: max(1, -(-n // 12))])
-            return next(("satellite name" for k in range(n) if not re.match(r"[ A-Z][ 0-9][0-9]$", svs[3 * k : 3 * k + 3])), None)
-        for line in block[1:]:
-            if line[:1] == ">" or not re.match(r"[A-Z][ 0-9][0-9]", line):
-                return "satellite line"
-            if line[:1] not in self.n_obs:
-                return "system without observation types"
-            if line[3 + 16 * self.n_obs[line[0]] :].strip():
-                return "text after the last field"
+            names = [svs[3 * k : 3 * k + 3] for k in range(n)]
+            if not all(re.match(r"[ A-Z][ 0-9][0-9]$", x) for x in names):
+                return "satellite name"
+            return None if {self.named(x)[0] for x in names} <= self.n_obs.keys() else "system without observation types"
+        body, limit = block[1:], self.limit
+        if not all(map(SATELLITE, body)):
+            return "satellite line"
+        if not {x[0] for x in body} <= limit.keys():
+            return "system without observation types"
+        if any(len(x) > limit[x[0]] and x[limit[x[0]] :].strip() for x in body):
+            return "text after the last field"
         return None
 
     def compact_records(self) -> Iterator[dict]:
         epoch, mark, sats = None, "&" if self.version == "2" else ">", 32 if self.version == "2" else 41
         parse = head2 if self.version == "2" else lambda x: head3(x[:41].ljust(35))
-        starts = (mark,)
-        while self.at < len(self.lines):
-            begin, line = self.at, self.lines[self.at]
+        while self.fill(1):
+            begin, line = self.base + self.at, self.lines[self.at]
             init = line[:1] == mark
             if init:
                 epoch = " " + line[1:] if self.version == "2" else line
-            elif epoch is not None and line[:1] in ("", " "):
+            elif epoch is not None and line[:1] in ("", " ", "&"):
                 epoch = repaired(epoch, line)
             else:
                 epoch = None
             got = parse(epoch.ljust(35)) if epoch is not None else None
             if got is not None and got[0] in "2345":
-                block = self.lines[begin : begin + 1 + got[1]]
-                self.at = begin + 1 + got[1]
+                self.fill(1 + got[1])
+                block = self.lines[self.at : self.at + 1 + got[1]]
+                self.at += len(block)
                 yield self.row(EVENT, begin, head=epoch, lines=[epoch, *block[1:]])
                 epoch = None  # the next epoch begins anew
                 continue
             n = got[1] if got else 0
-            names = [epoch[sats + 3 * k : sats + 3 * k + 3] for k in range(n)] if got else []
-            block = self.lines[begin + 1 : begin + 2 + n]
-            if got is None or len(block) < 1 + n or any(not re.match(r"[ A-Z][ 0-9][0-9]$", x) or x[0] not in self.n_obs for x in names):
+            names = [epoch[sats + 3 * k : sats + 3 * k + 3].ljust(3) for k in range(n)] if got else []
+            here = self.fill(2 + n)
+            block = self.lines[self.at + 1 : self.at + 2 + n]
+            if got is None or not here or any(not re.match(r"[ A-Z][ 0-9][0-9]$", x) or self.named(x)[0] not in self.n_obs for x in names):
                 yield self.bad(begin, "compact record")
-                epoch, self.at = None, begin + 1
-                while self.at < len(self.lines) and self.lines[self.at][:1] not in starts:
-                    self.at += 1
+                epoch = None
+                self.at += 1
+                self.resync(lambda x: x[:1] == mark)
                 continue
-            self.at = begin + 2 + n
-            yield self.row(OBS, begin, head=epoch, init=init, clock=block[0], lines=[a + b for a, b in zip(names, block[1:], strict=True)])
+            self.at += 2 + n
+            yield self.row(OBS, begin, head=epoch, init=init, clock=block[0], lines=[self.named(a) + b for a, b in zip(names, block[1:], strict=True)])

@@ -6,45 +6,84 @@ observations and parse_errors in the canonical schema.
 
 from __future__ import annotations
 
+import io
+import sys
+from collections.abc import Iterator
+
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyledger.functions.fields import full_year, obs_struct, pack_date, pack_minute, packed_timestamp, parse_fixed, parse_uint, render_obs
-from skyledger.sources.compact import decode_compact
-from skyledger.sources.framing import EVENT, HEADER, OBS, RECORD, TYPES2, TYPES3, Framer
+from skyledger.scratch import Scratch, shared_dir
+from skyledger.sources.compact import decode_clock, decode_compact
+from skyledger.sources.framing import EVENT, HEADER, OBS, RECORD, TYPES2, TYPES3, Framer, pieces_from
 
 TYPES = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+FIELDS = [x.split() for x in RECORD.split(", ")]
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """(file, content) of files, folders or globs. A file is the unit of parallel work."""
+    """(file, content) of files, folders or globs: whole files in cells, for stores that only the
+    engine's readers reach; up to 2 GB a file. `stream_records` has no such bound."""
     files = spark.read.format("binaryFile").load(list(paths))
     return files.select(F.col("path").alias("file"), F.col("content").cast("string").alias("content"))
 
 
 def records(files: DataFrame) -> DataFrame:
     """Framed records of files(file, content)."""
-    fields = [x.split() for x in RECORD.split(", ")]
 
     def run(batches):
         for batch in batches:
             for file, content in zip(batch["file"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                held = []
-                for row in Framer(file, content or "").rows():
-                    held.append(row)
-                    if len(held) == 2000:
-                        yield _batch(held, fields)
-                        held = []
-                if held:
-                    yield _batch(held, fields)
+                yield from _framed(Framer(file, content or ""))
 
     return files.select("file", "content").mapInArrow(run, RECORD)
 
 
-def _batch(rows: list[dict], fields: list[list[str]]) -> pa.RecordBatch:
-    return pa.record_batch({n: pa.array([r.get(n) for r in rows], TYPES[t]) for n, t in fields})
+def stream_records(spark: SparkSession, *paths: str) -> DataFrame:
+    """Framed records of files, folders or globs, read in pieces: a task holds a piece of a file and a
+    record. The engine lists the files and deals them out; the tasks open them through pyarrow's file
+    systems (local, HDFS, S3, GCS)."""
+    names = spark.read.format("binaryFile").load(list(paths)).select("path")
+
+    def run(batches):
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                fs, at = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+                with fs.open_input_stream(at) as stream:
+                    yield from _framed(Framer(path, pieces_from(stream)))
+
+    return names.mapInArrow(run, RECORD)
+
+
+def spool(spark: SparkSession, stream: io.RawIOBase | None = None, name: str = "stdin") -> str:
+    """Copies standard input, or another binary stream, piece by piece to a file in the shared folder,
+    and gives its path."""
+    base = f"{shared_dir(spark)}/spool"
+    fs, at = pafs.FileSystem.from_uri(base) if "://" in base else (pafs.LocalFileSystem(), base.removeprefix("file:"))
+    fs.create_dir(at, recursive=True)
+    with fs.open_output_stream(f"{at}/{name}") as out:
+        while data := (stream or sys.stdin.buffer).read(4 << 20):
+            out.write(data)
+    return f"{base}/{name}"
+
+
+def _framed(framer: Framer) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in framer.rows():
+        held.append(row)
+        if len(held) == 2000:
+            yield _batch(held)
+            held = []
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.record_batch({n: pa.array([r.get(n) for r in rows], TYPES[t]) for n, t in FIELDS})
 
 
 def headers(recs: DataFrame) -> DataFrame:
@@ -92,10 +131,12 @@ def _times(head: Column, version: Column) -> dict[str, Column]:
 
 
 def epochs(recs: DataFrame) -> DataFrame:
+    """A row for each record with observations; the clock offset of compact files is an arc of its own."""
     rows = recs.where(F.col("kind") == OBS)
-    out = rows.select("file", "rec_idx", "epoch_idx", *[c.alias(n) for n, c in _times(F.col("head"), F.col("version")).items()], "compact", "clock", "init")
-    plain = F.when(~F.col("compact"), parse_fixed(F.col("clock"), 12))
-    return out.withColumn("ts", packed_timestamp(F.col("date"), F.col("hh_mm"), F.col("sec_e7"))).withColumn("clock_offset_e12", plain)
+    out = rows.select("file", "rec_idx", "epoch_idx", *[c.alias(n) for n, c in _times(F.col("head"), F.col("version")).items()], "compact", "version", "clock", "init")
+    out = out.withColumn("ts", packed_timestamp(F.col("date"), F.col("hh_mm"), F.col("sec_e7")))
+    plain = out.where("not compact").withColumn("clock_offset_e12", parse_fixed(F.col("clock"), 12))
+    return plain.unionByName(decode_clock(out.where("compact"))).drop("version")
 
 
 def events(recs: DataFrame) -> DataFrame:
@@ -105,47 +146,54 @@ def events(recs: DataFrame) -> DataFrame:
     return rows.select("file", "rec_idx", "epoch_idx", flag.alias("flag"), (F.size("lines") - 1).alias("n_lines"), F.array_join("lines", "\n").alias("text"))
 
 
-def _fields(recs: DataFrame) -> DataFrame:
-    """Plain observation records with their fields, by satellite: (…, sv_pos, sys, prn, sv, fields)."""
-    rows = recs.where((F.col("kind") == OBS) & ~F.col("compact")).select("file", "version", "rec_idx", "epoch_idx", "line_no", F.posexplode("lines").alias("sv_pos", "line"))
-    system = F.when(F.substring("line", 1, 1) == " ", "G").otherwise(F.substring("line", 1, 1))
-    prn = parse_uint(F.substring("line", 2, 2))
-    n = F.ceil((F.length(F.rtrim("line")) - 3) / 16).cast("int")
-    fields = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda j: obs_struct(F.substring(F.col("line"), 4 + 16 * j, F.lit(16))))).otherwise(F.array())
-    bad = F.exists(fields, lambda f: f.isNotNull() & f["value_e3"].isNull())
-    return rows.select("file", "version", "rec_idx", "epoch_idx", "line_no", "sv_pos", system.alias("sys"), prn.alias("prn"), F.concat(system, F.lpad(prn.cast("string"), 2, "0")).alias("sv"), fields.alias("fields"), bad.alias("bad"))
+def _satellites(recs: DataFrame) -> DataFrame:
+    """Plain observation records with `sats`, their satellites with fields, and `spoiled`, whether a field is bad."""
+    rows = recs.where((F.col("kind") == OBS) & ~F.col("compact")).select("file", "version", "rec_idx", "epoch_idx", "line_no", "codes", "lines")
+
+    def satellite(line: Column) -> Column:
+        n = F.ceil((F.length(F.rtrim(line)) - 3) / 16).cast("int")
+        fields = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda j: obs_struct(F.substring(line, 4 + 16 * j, F.lit(16)))))
+        return F.struct(F.substring(line, 1, 3).alias("name"), fields.alias("fields"))
+
+    rows = rows.withColumn("sats", F.transform("lines", satellite)).drop("lines")
+    return rows.withColumn("spoiled", F.exists("sats", lambda s: F.coalesce(F.exists(s["fields"], lambda f: f.isNotNull() & f["value_e3"].isNull()), F.lit(False))))
 
 
-def observations(recs: DataFrame, types: DataFrame) -> DataFrame:
-    """A row for each observation that is there; records with a bad field give none."""
-    rows = _fields(recs).withColumn("spoiled", F.max("bad").over(W.partitionBy("file", "rec_idx"))).where("not spoiled")
-    long = rows.select("file", "version", "epoch_idx", "sv_pos", "sys", "prn", "sv", F.posexplode("fields").alias("code_idx", "f")).where("f is not null")
-    long = long.select("file", "epoch_idx", "sv_pos", "sys", "prn", "sv", "code_idx", "f.value_e3", "f.lli", "f.ssi", F.when(F.col("version") == "2", " ").otherwise(F.col("sys")).alias("list"))
-    plain = long.join(types.select("file", F.col("sys").alias("list"), "code_idx", "code"), ["file", "list", "code_idx"])
+def observations(recs: DataFrame) -> DataFrame:
+    """A row for each observation that is there; records with a bad field give none. A record carries
+    its file's code names, so nothing is joined or shuffled."""
+    rows = _satellites(recs).where("not spoiled")
+    rows = rows.select("file", "version", "epoch_idx", F.str_to_map("codes", F.lit(";"), F.lit(":")).alias("lists"), F.posexplode("sats").alias("sv_pos", "s"))
+    sys, prn = F.substring("s.name", 1, 1), parse_uint(F.substring("s.name", 2, 2))
+    names = F.split(F.element_at("lists", F.when(F.col("version") == "2", " ").otherwise(sys)), ",")
+    rows = rows.select("file", "epoch_idx", "sv_pos", sys.alias("sys"), prn.alias("prn"), F.concat(sys, F.lpad(prn.cast("string"), 2, "0")).alias("sv"), names.alias("names"), F.posexplode("s.fields").alias("code_idx", "f"))
+    plain = rows.where("f is not null").withColumn("code", F.nullif(F.get("names", "code_idx"), F.lit(""))).where("code is not null")
     order = ["file", "epoch_idx", "sv_pos", "sys", "prn", "sv", "code_idx", "code", "value_e3", "lli", "ssi"]
-    return plain.select(*order).unionByName(decode_compact(recs, types).select(*order))
+    return plain.select(*order[:8], "f.value_e3", "f.lli", "f.ssi").unionByName(decode_compact(recs).select(*order))
 
 
 def parse_errors(recs: DataFrame) -> DataFrame:
     framed = recs.where("error is not null").select("file", "rec_idx", "line_no", "error", "reason")
-    fields = _fields(recs).where("bad").select("file", "rec_idx", "line_no", F.lit("BAD_FORMAT").alias("error"), F.lit("observation field").alias("reason")).distinct()
+    fields = _satellites(recs).where("spoiled").select("file", "rec_idx", "line_no", F.lit("BAD_FORMAT").alias("error"), F.lit("observation field").alias("reason"))
     return framed.unionByName(fields)
 
 
 class Reading:
-    """All tables of a set of files, framed once for each table that is used; cache `recs` to share."""
+    """All tables of a set of files. Framing is the one step in Python: recs are written once, and all
+    tables read what was written (written=False: they are framed anew for each table)."""
 
-    def __init__(self, recs: DataFrame):
-        self.recs = recs
+    def __init__(self, recs: DataFrame, written: bool = True):
+        self.recs = recs = Scratch(recs.sparkSession, "records").save(recs, "records") if written else recs
         self.headers = headers(recs)
         self.obs_types = obs_types(self.headers)
         self.epochs, self.events, self.parse_errors = epochs(recs), events(recs), parse_errors(recs)
-        self.observations = observations(recs, self.obs_types)
+        self.observations = observations(recs)
 
 
-def read_text(spark: SparkSession, *paths: str, mode: str = "PERMISSIVE") -> Reading:
-    """mode FAILFAST raises at the first bad record; PERMISSIVE leaves it in parse_errors."""
-    out = Reading(records(read_files(spark, *paths)))
+def read_text(spark: SparkSession, *paths: str, mode: str = "PERMISSIVE", whole_files: bool = False) -> Reading:
+    """mode FAILFAST raises at the first bad record; PERMISSIVE leaves it in parse_errors. whole_files
+    reads files as cells, from any store that the engine reads."""
+    out = Reading(records(read_files(spark, *paths)) if whole_files else stream_records(spark, *paths))
     if mode.upper() == "FAILFAST":
         worst = out.parse_errors.limit(1).collect()
         if worst:

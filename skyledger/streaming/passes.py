@@ -28,11 +28,7 @@ def for_each_file_batch(files: DataFrame, use: Callable, checkpoint: str, once:
     from skyledger.sources.text import Reading, records
 
     def batch(df: DataFrame, n: int) -> None:
-        recs = records(df).persist()
-        try:
-            use(Reading(recs), n)
-        finally:
-            recs.unpersist()
+        use(Reading(records(df)), n)
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
