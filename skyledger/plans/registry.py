@@ -221,10 +221,12 @@ def obs_v2_record_roundtrip(spark, sf_dir):
 
 @query("SELECT file, sv, code, epoch_idx, value_e3 FROM o")
 def obs_hatanaka_roundtrip(spark, sf_dir):
-    """Values as third differences and back, by running sums."""
-    obs = observations(spark, sf_dir)
-    stored = compact.encode_items(obs, an.SIGNAL, "epoch_idx", "value_e3", 3).select(*an.SIGNAL, "epoch_idx", "item", "k", "n")
-    return compact.undo_differences(stored, an.SIGNAL, "epoch_idx", "item", "n", "k", 3).select(*an.SIGNAL, "epoch_idx", F.col("value").alias("value_e3"))
+    """Values as differences of order 1 to 9, by the satellite's number, and back by running sums."""
+    obs, out = observations(spark, sf_dir), None
+    for order in range(1, 10):
+        part = compact.encode_items(obs.where(F.col("prn") % 9 + 1 == order), an.SIGNAL, "epoch_idx", "value_e3", order).select(*an.SIGNAL, "epoch_idx", "item", "k", "n")
+        out = part if out is None else out.unionByName(part)
+    return compact.undo_differences(out, an.SIGNAL, "epoch_idx", "item", "n", "k").select(*an.SIGNAL, "epoch_idx", F.col("value").alias("value_e3"))
 
 
 @query("SELECT file, sv, code, epoch_idx, lli, ssi FROM o")
