@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -130,6 +131,13 @@ def whole_rows(docs: DataFrame, **columns: Column) -> DataFrame:
 ROWS = 1000
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function made once per task."""
 
@@ -138,6 +146,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):  # small pieces, so that results stay small too
                 yield f(batch.slice(start, ROWS))
+            release()
+        del f
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import Scratch, map_rows, near, text_bytes
+from skyledger.llm.common import Scratch, map_rows, near, release, text_bytes
 from skyledger.llm.components import connected_components
 
 SEED = 42
@@ -52,6 +52,7 @@ def frequent(rows: DataFrame, size: int, sampled: int = 20_000, least: int = 20,
         for batch in batches:
             for t in text_bytes(batch["text"]):
                 yield pa.record_batch({"h": pa.array(np.unique(shingle_hashes(t, size)).view(np.int64))})
+            release()
 
     drawn = rows.select("text").distinct().where(F.pmod(F.xxhash64("text", F.lit(29)), F.lit(1 << 30)) < int(share * (1 << 30)))
     found = drawn.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).toArrow()
