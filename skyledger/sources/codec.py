@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 
@@ -359,34 +360,84 @@ def encode_file(c: Contents, chunk_digest: int = 0, file_digest: int = 0) -> byt
     return bytes(out) + digest(file_digest, bytes(out))
 
 
+class Ranged:
+    """A seekable file as bytes: what is asked for is read, single bytes by pages that are kept."""
+
+    PAGE, KEPT = 1 << 14, 64
+
+    def __init__(self, f, size: int):
+        self.f, self.size, self.pages, self.read_bytes = f, size, {}, 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _read(self, start: int, end: int) -> bytes:
+        self.f.seek(start)
+        self.read_bytes += end - start
+        return self.f.read(end - start)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            start, end, _ = at.indices(self.size)
+            if end - start <= 8 and start // self.PAGE == max(start, end - 1) // self.PAGE:
+                page = self._page(start // self.PAGE)
+                return page[start % self.PAGE : start % self.PAGE + end - start]
+            return self._read(start, max(start, end))
+        return self._page(at // self.PAGE)[at % self.PAGE]
+
+    def _page(self, k: int) -> bytes:
+        if k not in self.pages:
+            if len(self.pages) >= self.KEPT:
+                self.pages.pop(next(iter(self.pages)))
+            self.pages[k] = self._read(k * self.PAGE, min((k + 1) * self.PAGE, self.size))
+        return self.pages[k]
+
+
 class Store:
-    """Reads one file: by directory where there is one, else by walking the chunks."""
+    """Reads one file, bytes or Ranged: by the directory's offsets where there is one, else by walking
+    the chunks. The file's digest is verified where all bytes are at hand, chunk digests always."""
 
-    def __init__(self, data: bytes, verify: bool = True):
+    def __init__(self, data: bytes | Ranged, verify: bool = True):
         if data[:4] != b"SRNX":
             raise ValueError("not a signal store")
         self.data = data
         size, at = read_uleb(data, 4)
-        values = []
+        self.first, values = at + size, []
         for _ in range(5):
             v, at = read_uleb(data, at)
             values.append(v)
         if values[0] != 1:
             raise ValueError(f"major version {values[0]}")
         self.chunk_digest, self.file_digest, self.directory = values[2:]
+        self.first += DIGESTS[self.chunk_digest]
         self.end = len(data) - DIGESTS[self.file_digest]
-        if verify and digest(self.file_digest, data[: self.end]) != data[self.end :]:
+        if verify and isinstance(data, bytes) and digest(self.file_digest, data[: self.end]) != data[self.end :]:
             raise ValueError("file digest")
         self.verify = verify
-        self.offsets: dict[bytes, list[int]] = {}
+        self.header = self.payload(self.first if data[self.first : self.first + 4] == b"RHDR" else self.offsets[b"RHDR"][0]).decode()
+        self.codes = header_codes(self.header)
+
+    @cached_property
+    def offsets(self) -> dict[bytes, list[int]]:
+        """Where chunks are, by walking over their heads."""
+        out: dict[bytes, list[int]] = {}
         at = 0
-        while at < self.end:  # headers only; payloads are read when asked for
-            name = bytes(data[at : at + 4])
-            size, body = read_uleb(data, at + 4)
-            self.offsets.setdefault(name, []).append(at)
+        while at < self.end:
+            size, body = read_uleb(self.data, at + 4)
+            out.setdefault(bytes(self.data[at : at + 4]), []).append(at)
             at = body + size + DIGESTS[self.chunk_digest]
-        self.header = self.payload(self.offsets[b"RHDR"][0]).decode()
-        self.codes = header_codes(self.header)
+        return out
+
+    @cached_property
+    def from_directory(self) -> tuple[int, int, dict[str, int]]:
+        """The places of the epochs, of the first event (0: none), and of the satellites."""
+        p, out = self.payload(self.directory), {}
+        epochs, at = read_uleb(p, 0)
+        events, at = read_uleb(p, at)
+        while at < len(p):
+            name, (offset, at) = p[at : at + 3].decode(), read_uleb(p, at + 3)
+            out[name] = offset
+        return epochs, events, out
 
     def payload(self, at: int) -> bytes:
         size, body = read_uleb(self.data, at + 4)
@@ -396,9 +447,12 @@ class Store:
         return self.data[body:end]
 
     def epochs(self) -> list[tuple[int, int, int, int]]:
-        return decode_epochs(self.payload(self.offsets[b"EPOC"][0])) if b"EPOC" in self.offsets else []
+        at = self.from_directory[0] if self.directory else next(iter(self.offsets.get(b"EPOC", [])), None)
+        return [] if at is None else decode_epochs(self.payload(at))
 
     def events(self) -> list[tuple[int, str]]:
+        if self.directory and not self.from_directory[1]:
+            return []
         out = []
         for at in self.offsets.get(b"EVTF", []):
             p = self.payload(at)
@@ -409,13 +463,7 @@ class Store:
     def satellites(self) -> dict[str, int]:
         """Satellites with the places of their chunks."""
         if self.directory:
-            p, out = self.payload(self.directory), {}
-            _, at = read_uleb(p, 0)
-            _, at = read_uleb(p, at)
-            while at < len(p):
-                name, (offset, at) = p[at : at + 3].decode(), read_uleb(p, at + 3)
-                out[name] = offset
-            return out
+            return self.from_directory[2]
         return {self.payload(at)[:3].decode(): at for at in self.offsets.get(b"SATE", [])}
 
     def satellite(self, at: int) -> tuple[list[int], dict[str, int]]:

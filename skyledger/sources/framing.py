@@ -92,6 +92,13 @@ def repaired(old: str, new: str) -> str:
 
 
 SATELLITE = re.compile(r"[A-Z][ 0-9][0-9]").match
+#: A satellite's name and whole fields of 16 characters: blank, or F14.3 with its point in column 11 (blank
+#: digits behind it only after the others) and two characters.
+FIELDS = re.compile(r"...(?: {16}|(?=[-0-9 ]{10}[.]) *-?[0-9]*[.](?:[0-9]{3}|[0-9]{2} |[0-9] {2}| {3})..)*$").match
+
+
+def good_fields(line: str) -> bool:
+    return FIELDS(line) is not None or FIELDS(line.ljust(3 + -(-(len(line) - 3) // 16) * 16)) is not None
 
 
 def pieces_of(text: str) -> Iterator[list[str]]:
@@ -220,8 +227,11 @@ class Framer:
             elif self.version == "2":
                 heads = max(1, -(-n // 12))
                 svs = "".join(x[32:68].ljust(36) for x in block[:heads])
-                body = ["".join(x[:80].ljust(80) for x in block[heads + k * per : heads + (k + 1) * per]) for k in range(n)]
-                yield self.row(OBS, begin, head=block[0], clock=block[0][68:].strip() if len(block[0]) > 70 else None, lines=[self.named(svs[3 * k : 3 * k + 3]) + body[k] for k in range(n)])
+                lines = [self.named(svs[3 * k : 3 * k + 3]) + "".join(x[:80].ljust(80) for x in block[heads + k * per : heads + (k + 1) * per]) for k in range(n)]
+                if all(map(good_fields, lines)):
+                    yield self.row(OBS, begin, head=block[0], clock=block[0][68:].strip() if len(block[0]) > 70 else None, lines=lines)
+                else:
+                    yield self.bad(begin, "observation field")
             else:
                 yield self.row(OBS, begin, head=block[0], clock=block[0][41:].strip() if len(block[0]) > 43 else None, lines=block[1:])
 
@@ -242,7 +252,7 @@ class Framer:
             return "system without observation types"
         if any(len(x) > limit[x[0]] and x[limit[x[0]] :].strip() for x in body):
             return "text after the last field"
-        return None
+        return None if all(map(good_fields, body)) else "observation field"
 
     def compact_records(self) -> Iterator[dict]:
         epoch, mark, sats = None, "&" if self.version == "2" else ">", 32 if self.version == "2" else 41

@@ -1,7 +1,8 @@
 """The binary per-signal layout as a data source, and its writer.
 
 `spark.read.format("signalstore").load(path)` gives observations; satellite and code filters are
-pushed to the chunks; `register` switches this on, and with option pushdown=false it is not needed.
+pushed to the chunks: files are read in ranges, by the directory's offsets, and what is not asked for is
+not read; `register` switches this on, and with option pushdown=false it is not needed.
 Options: table (observations, epochs, events, headers, satellites), columns of indicators are decoded
 only with indicators=true (the default).
 """
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from skyledger.sources.codec import Contents, Store, encode_file
+from skyledger.sources.codec import Contents, Ranged, Store, encode_file
 
 SCHEMAS = {
     "observations": "file string, epoch_idx bigint, sys string, prn int, sv string, code_idx int, code string, value_e3 bigint, lli string, ssi string",
@@ -56,9 +57,10 @@ class StoreReader(DataSourceReader):
 
     def read(self, part: OneFile) -> Iterator[tuple]:
         fs = pafs.FileSystem.from_uri(self.options["path"])[0] if "://" in self.options["path"] else pafs.LocalFileSystem()
-        with fs.open_input_stream(part.path) as f:
-            store = Store(f.read())
-        file = part.path.rsplit("/", 1)[-1]
+        with fs.open_input_file(part.path) as f:
+            yield from self.rows(part.path.rsplit("/", 1)[-1], Store(Ranged(f, f.size())))
+
+    def rows(self, file: str, store: Store) -> Iterator[tuple]:
         table = self.options.get("table", "observations")
         if table == "headers":
             yield (file, store.header)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyledger.functions.fields import full_year, obs_struct, pack_date, pack_minute, packed_timestamp, parse_fixed, parse_uint, render_obs
+from skyledger.functions.fields import full_year, obs_value, pack_date, pack_minute, packed_timestamp, parse_fixed, parse_uint, render_obs
 from skyledger.scratch import Scratch, shared_dir
 from skyledger.sources.compact import decode_clock, decode_compact
 from skyledger.sources.framing import EVENT, HEADER, OBS, RECORD, TYPES2, TYPES3, Framer, pieces_from
@@ -146,36 +146,26 @@ def events(recs: DataFrame) -> DataFrame:
     return rows.select("file", "rec_idx", "epoch_idx", flag.alias("flag"), (F.size("lines") - 1).alias("n_lines"), F.array_join("lines", "\n").alias("text"))
 
 
-def _satellites(recs: DataFrame) -> DataFrame:
-    """Plain observation records with `sats`, their satellites with fields, and `spoiled`, whether a field is bad."""
-    rows = recs.where((F.col("kind") == OBS) & ~F.col("compact")).select("file", "version", "rec_idx", "epoch_idx", "line_no", "codes", "lines")
-
-    def satellite(line: Column) -> Column:
-        n = F.ceil((F.length(F.rtrim(line)) - 3) / 16).cast("int")
-        fields = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda j: obs_struct(F.substring(line, 4 + 16 * j, F.lit(16)))))
-        return F.struct(F.substring(line, 1, 3).alias("name"), fields.alias("fields"))
-
-    rows = rows.withColumn("sats", F.transform("lines", satellite)).drop("lines")
-    return rows.withColumn("spoiled", F.exists("sats", lambda s: F.coalesce(F.exists(s["fields"], lambda f: f.isNotNull() & f["value_e3"].isNull()), F.lit(False))))
-
-
 def observations(recs: DataFrame) -> DataFrame:
-    """A row for each observation that is there; records with a bad field give none. A record carries
-    its file's code names, so nothing is joined or shuffled."""
-    rows = _satellites(recs).where("not spoiled")
-    rows = rows.select("file", "version", "epoch_idx", F.str_to_map("codes", F.lit(";"), F.lit(":")).alias("lists"), F.posexplode("sats").alias("sv_pos", "s"))
-    sys, prn = F.substring("s.name", 1, 1), parse_uint(F.substring("s.name", 2, 2))
-    names = F.split(F.element_at("lists", F.when(F.col("version") == "2", " ").otherwise(sys)), ",")
-    rows = rows.select("file", "epoch_idx", "sv_pos", sys.alias("sys"), prn.alias("prn"), F.concat(sys, F.lpad(prn.cast("string"), 2, "0")).alias("sv"), names.alias("names"), F.posexplode("s.fields").alias("code_idx", "f"))
-    plain = rows.where("f is not null").withColumn("code", F.nullif(F.get("names", "code_idx"), F.lit(""))).where("code is not null")
+    """A row for each observation that is there. Framing has left out records with a bad field, and a
+    record carries its file's code names; so nothing is joined, shuffled or looked at twice."""
+    rows = recs.where((F.col("kind") == OBS) & ~F.col("compact")).select("file", "version", "epoch_idx", "codes", F.posexplode("lines").alias("sv_pos", "line"))
+    n = F.ceil((F.length(F.rtrim("line")) - 3) / 16).cast("int")
+    sys, prn = F.substring("line", 1, 1), parse_uint(F.substring("line", 2, 2))
+    names = F.split(F.element_at(F.str_to_map("codes", F.lit(";"), F.lit(":")), F.when(F.col("version") == "2", " ").otherwise(sys)), ",")
+    rows = rows.where(n > 0).select("file", "epoch_idx", "sv_pos", "line", sys.alias("sys"), prn.alias("prn"), names.alias("names"), n.alias("n"))
+    rows = rows.withColumn("sv", F.concat("sys", F.lpad(F.col("prn").cast("string"), 2, "0")))
+    rows = rows.select("file", "epoch_idx", "sv_pos", "line", "sys", "prn", "sv", F.posexplode(F.slice("names", F.lit(1), F.col("n"))).alias("code_idx", "code"))
+    # one field at a time from here, in compiled code
+    field = F.rpad(F.substring(F.col("line"), 4 + 16 * F.col("code_idx"), F.lit(16)), 16, " ")
+    rows = rows.select("file", "epoch_idx", "sv_pos", "sys", "prn", "sv", "code_idx", "code", field.alias("field")).where((F.col("field") != " " * 16) & (F.col("code") != ""))
     order = ["file", "epoch_idx", "sv_pos", "sys", "prn", "sv", "code_idx", "code", "value_e3", "lli", "ssi"]
-    return plain.select(*order[:8], "f.value_e3", "f.lli", "f.ssi").unionByName(decode_compact(recs).select(*order))
+    plain = rows.select(*order[:8], obs_value(F.col("field")).alias("value_e3"), F.substring("field", 15, 1).alias("lli"), F.substring("field", 16, 1).alias("ssi"))
+    return plain.unionByName(decode_compact(recs).select(*order))
 
 
 def parse_errors(recs: DataFrame) -> DataFrame:
-    framed = recs.where("error is not null").select("file", "rec_idx", "line_no", "error", "reason")
-    fields = _satellites(recs).where("spoiled").select("file", "rec_idx", "line_no", F.lit("BAD_FORMAT").alias("error"), F.lit("observation field").alias("reason"))
-    return framed.unionByName(fields)
+    return recs.where("error is not null").select("file", "rec_idx", "line_no", "error", "reason")
 
 
 class Reading:

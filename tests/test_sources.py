@@ -180,6 +180,67 @@ def test_store(chunk, whole):
             codec.Store(bytes(broken))
 
 
+def test_store_reads_ranges(tmp_path):
+    c = contents()
+    c.satellites |= {f"E{k:02d}": ([0], {}) for k in range(1, 2)}
+    rng = np.random.default_rng(1)
+    c.satellites |= {f"G{k:02d}": (list(range(9)), {"C1C": (list(range(9)), rng.integers(0, 2**60, 9).tolist(), " " * 9, " " * 9)}) for k in range(30, 99)}
+    c.events = [(0, "x" * 60_000)]
+    path = tmp_path / "a.srnx"
+    path.write_bytes(codec.encode_file(c, 2, 6))
+    with path.open("rb") as f:
+        data = codec.Ranged(f, path.stat().st_size)
+        s = codec.Store(data)
+        numbers, signals = s.satellite(s.satellites()["G05"])
+        values, lli, ssi = s.signal(signals["C1C"])
+        assert values.tolist() == [10, -20, 0, 30, 0] and lli == "0  1 " and numbers == [0, 1, 2, 5, 6]
+        assert data.read_bytes < len(data) and s.epochs() == c.epochs and s.header == c.header
+        assert s.events() == c.events
+
+
+def test_framing_in_pieces():
+    """Small pieces give what the whole text gives."""
+    import io
+
+    from skyledger.sources.framing import pieces_from
+
+    for version in (2, 3):
+        for put in (plain, compacted):
+            codes, data = sample(5, version, 6)
+            content = put(version, codes, data).replace("\n", "\r\n")
+            whole = list(Framer("f", content).rows())
+            for size in (7, 100, 5000):
+                assert list(Framer("f", pieces_from(io.BytesIO(content.encode()), size)).rows()) == whole
+            assert sum(r["kind"] == "obs" for r in whole) == 6
+
+
+@pytest.mark.parametrize("letter, ok", [("M", True), ("G", True), (" ", True), ("R", False)])
+def test_system_letter_of_version_2(spark, letter, ok):
+    lines = text.header_lines(2, ("C1",), "G")
+    lines[0] = lines[0][:40] + letter + lines[0][41:]
+    out = reading(spark, {"f": "\n".join([*lines, " 24  1  1  0  0  3.0000000  0  1G01", "     20000.000"]) + "\n"})
+    assert [r["sv"] for r in out.observations.collect()] == (["G01"] if ok else [])
+    assert [r["reason"] for r in out.parse_errors.collect()] == ([] if ok else ["system without observation types"])
+
+
+def test_clock_of_compact_files(spark):
+    codes, data = sample(2, 3, 6)
+    lines = compacted(3, codes, data).split("\n")
+    end = next(i for i, x in enumerate(lines) if "END OF HEADER" in x)
+    offsets = [5_000_000_000, -7, None, 12, 13, 15]
+    body = compact.compact_text([(head(3, k, len(sats)), sats, c) for (k, sats), c in zip(data, offsets, strict=True)], 3, 2)
+    out = reading(spark, {"c": "\n".join([*lines[: end + 1], *body]) + "\n"})
+    assert [r["clock_offset_e12"] for r in out.epochs.orderBy("epoch_idx").collect()] == offsets
+    assert got(out.observations) == expected(data, codes)
+
+
+@pytest.mark.parametrize("field, value", [("     20000.000", 20000000), ("         -.120", -120), ("          .   ", 0), ("   4375274.   ", 4375274000), ("  4375274.    ", None), ("   437527 .000", None), ("   +437527.000", None), ("    437527.1 2", None), ("     43752.5  ", 43752500)])
+def test_value_fields(spark, field, value):
+    from skyledger.functions.fields import obs_value
+
+    assert spark.createDataFrame([(field.ljust(16),)], "f string").select(obs_value(F.col("f")).alias("v")).first()["v"] == value
+
+
 def test_store_source(spark, tmp_path):
     (tmp_path / "a.srnx").write_bytes(codec.encode_file(contents(), 2, 6))
     signal_store.register(spark)
