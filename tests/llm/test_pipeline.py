@@ -1,5 +1,7 @@
 """The pipeline: stages hand on the columns of documents, and each does its part on planted cases."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from skyledger.llm import decontaminate
 from tests.llm.test_operators import brute_contamination
@@ -38,3 +40,19 @@ def test_empty_and_awkward(spark, tmp_path):
     saved(awkward(spark).limit(0), tmp_path / "none")
     saved(spark.createDataFrame([], "item_id long, text string"), tmp_path / "none", "benchmark")
     assert cp.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_columns_of_any_name(spark, sf, tmp_path):
+    """Columns that are named like those of the stages are carried, and change nothing else."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ["_text", "_copy", "_scan", "_drop", "_again", "row", "rejected", "score", "of_id", "h1", "items", "copies", "_id"]
+    more = docs
+    for k, name in enumerate(names):
+        more = more.withColumn(name, F.concat(F.lit(f"{k}:"), F.col("doc_id").cast("string")))
+    for k, (name, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/a{k}")
+        stage(spark, more, sf).write.parquet(f"{tmp_path}/b{k}")
+        docs, more = (spark.read.parquet(f"{tmp_path}/{x}{k}") for x in "ab")
+        assert sorted(map(str, docs.collect())) == sorted(map(str, more.select(*docs.columns).collect())), name
+        if name != cp.STAGES[-1][0]:
+            assert set(names) <= set(more.columns) and more.where(" or ".join(f"`{n}` <> '{j}:' || doc_id" for j, n in enumerate(names))).count() == 0
