@@ -48,6 +48,7 @@ class FactorizationMachine:
     def __init__(self, inputs: np.ndarray, bias: float, weights: np.ndarray, vectors: np.ndarray):
         self.inputs, self.bias, self.weights, self.vectors = inputs, bias, weights, vectors
         self.place = {int(h): i for i, h in enumerate(inputs)}
+        self.known = frozenset(self.place)
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, inputs: np.ndarray, weight: np.ndarray, *, factors: int = 8, rounds: int = 60, rate: float = 0.02, l2: float = 2e-4, seed: int = 5) -> FactorizationMachine:
@@ -75,8 +76,8 @@ class FactorizationMachine:
 
     def scores(self, texts: list[set[int]]) -> np.ndarray:
         """For the term hashes of each text; one product for all of them."""
-        place = self.place.get
-        at = [[i for i in map(place, sorted(t)) if i is not None] for t in texts]
+        place, known = self.place.__getitem__, self.known
+        at = [sorted(map(place, known & t)) for t in texts]
         flat, row = np.array([i for x in at for i in x], int), np.repeat(np.arange(len(at)), [len(x) for x in at])
         f = self.vectors.shape[1]
         table = np.c_[self.weights, self.vectors, (self.vectors**2).sum(1)]
