@@ -8,9 +8,8 @@ takes both sizes relative to the text's, and the largest and smallest difference
 towards zero for short blocks. Dictionaries are trained on one half of a bounded sample of labelled
 documents, the calibration on the other.
 
-Of a sampled text of any length, dictionaries get at most 16 blocks, evenly spaced over all of it; the
-driver holds at most 2 * per_class * 16 * 512 bytes. For the calibration it only gets numbers, of the
-whole texts.
+The driver gets 32,768 blocks of a label at most: if the sampled texts, of any length, have more, every
+k-th block of all of them. For the calibration it only gets numbers, of the whole texts.
 
 Cases: null and empty texts compress to a frame's header and get the score that follows. If only one
 label was seen, every score is that label's; if none, 0. Repeated rows are scored alike. Other
@@ -29,17 +28,18 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import Scratch, id_bucket, map_rows, text_bytes
 from skyledger.llm.labelled import labelled_sample
 
-LEVEL, BLOCK, FEATURES, PIECES = 3, 512, 5, 16
+LEVEL, BLOCK, FEATURES = 3, 512, 5
+#: Blocks of a label that go to the driver at most, but for rounding: 16 MB.
+MOST_BLOCKS = 32_768
 
 
 def blocks(text: bytes) -> list[bytes]:
     return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)] or [b""]
 
 
-def pieces(text: bytes) -> list[bytes]:
-    """At most PIECES blocks, evenly spaced over the whole text."""
-    n = -(-len(text) // BLOCK)
-    return [text[k * BLOCK : (k + 1) * BLOCK] for k in (range(n) if n <= PIECES else (j * n // PIECES for j in range(PIECES)))]
+def pieces(text: bytes, step: int, start: int) -> list[bytes]:
+    """Every step-th block, over the whole text."""
+    return [text[i * BLOCK : (i + 1) * BLOCK] for i in range(start % step, -(-len(text) // BLOCK), step)]
 
 
 def train_dictionary(parts: list[bytes], size: int) -> bytes:
@@ -94,9 +94,13 @@ def fit_quality(sample: DataFrame, stands_for: dict[int, float], *, dictionary_b
     place = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("id", "text", F.lit(23)), F.xxhash64("id", "text")))
     sample = Scratch(sample.sparkSession, "quality").save(sample.withColumn("place", place), "sample")
 
+    n_blocks = dict(sample.where("place % 2 = 1").groupBy("label").agg(F.sum(F.ceil(F.octet_length("text") / BLOCK))).collect())
+    steps = {c: max(1, -(-int(n or 0) // MOST_BLOCKS)) for c, n in n_blocks.items()}
+
     def make_pieces():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.record_batch({"label": batch["label"], "place": batch["place"], "parts": pa.array([pieces(t or b"") for t in text_bytes(batch["text"])], pa.list_(pa.binary()))})
+            rows = zip(text_bytes(batch["text"]), batch["label"].to_pylist(), batch["place"].to_pylist(), strict=True)
+            return pa.record_batch({"label": batch["label"], "place": batch["place"], "parts": pa.array([pieces(t or b"", steps[c], k // 2) for t, c, k in rows], pa.list_(pa.binary()))})
 
         return f
 
