@@ -15,23 +15,24 @@ from pyspark.sql import functions as F
 from skyledger.operators import analytics as an
 from skyledger.session import local_session
 from skyledger.sources import convert, text
+from skyledger.sources import scan as scanning
 
 
-def scan(got: text.Reading, verbose: bool) -> list[DataFrame]:
+def scan(got: scanning.Scan, verbose: bool) -> list[DataFrame]:
     blank = got.obs_types.where("sys = ' '").groupBy("file").agg(F.count("*").alias("sysobs"))
     usual = got.epochs.where(F.col("flag").isin("0", "1")).select("file", "epoch_idx")
-    obs = got.observations.join(usual, ["file", "epoch_idx"], "left_semi")
+    words = got.words.join(usual, ["file", "epoch_idx"], "left_semi")
     every = got.epochs.select("file").unionAll(got.events.select("file"))
-    out = got.headers.select("file").distinct().join(an.scan_summary(obs, every).drop("sysobs"), "file", "left").join(blank, "file", "left")
+    out = got.headers.select("file").distinct().join(an.word_summary(words, every).drop("sysobs"), "file", "left").join(blank, "file", "left")
     numbers = ["epochs", "maxobs", "maxsats", "sysobs", "satobs", "totobs", "maxepochs"]  # a file without a record has its line, too
     out = out.select(F.col("file").alias("filename"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers])
-    detail = got.epochs.select("file", "epoch_idx", "date", "hh_mm", "sec_e7").join(an.epoch_counts(obs), ["file", "epoch_idx"]).orderBy("file", "epoch_idx")
+    detail = got.epochs.select("file", "epoch_idx", "date", "hh_mm", "sec_e7").join(an.word_epoch_counts(words), ["file", "epoch_idx"]).orderBy("file", "epoch_idx")
     return [detail, out] if verbose else [out]
 
 
-def maxima(got: text.Reading, verbose: bool) -> list[DataFrame]:
+def maxima(got: scanning.Scan, verbose: bool) -> list[DataFrame]:
     usual = got.epochs.where(F.col("flag").isin("0", "1")).select("file", "epoch_idx")
-    obs = got.observations.join(usual, ["file", "epoch_idx"], "left_semi")
+    obs = got.words.withColumn("sys", F.substring("sv", 1, 1)).join(usual, ["file", "epoch_idx"], "left_semi")
     out = an.constellation_maxima(obs)
     return [an.running_maxima(obs).orderBy("file", "sys", "epoch_idx"), out] if verbose else [out]
 
@@ -60,7 +61,8 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "unpack":
         text.write_text(convert.unpack(spark, a.files[0]), a.out)
         return 0
-    got = text.read_text(spark, *([text.spool(spark)] if a.files == ["-"] else a.files))
+    read = scanning.scan_text if a.command in ("scan", "maxima", "counts") else text.read_text  # the others need values
+    got = read(spark, *([text.spool(spark)] if a.files == ["-"] else a.files))
     if a.command == "pack":
         print(convert.pack(got, a.out))
     for k, df in enumerate([] if a.command == "pack" else COMMANDS[a.command](got, a.verbose)):

@@ -33,7 +33,11 @@ def by_word(obs: DataFrame) -> DataFrame:
 
 def epoch_counts(obs: DataFrame) -> DataFrame:
     """(file, epoch_idx, n_sats, n_obs): satellites in the epoch, and observations that are present."""
-    by_sat = obs.groupBy("file", "epoch_idx", "sv").agg(F.count(F.when(is_present(), 1)).alias("n"))
+    return word_epoch_counts(by_word(obs))
+
+
+def word_epoch_counts(words: DataFrame) -> DataFrame:
+    by_sat = words.groupBy("file", "epoch_idx", "sv").agg(F.sum("n").alias("n"))
     return by_sat.groupBy("file", "epoch_idx").agg(F.count("*").alias("n_sats"), F.sum("n").alias("n_obs"))
 
 
@@ -42,7 +46,11 @@ def scan_summary(obs: DataFrame, epochs: DataFrame | None = None, sysobs: Column
 
     Epochs, satellites and codes are all summed up from the same rows by satellite, epoch and word of codes.
     """
-    base = by_word(obs)
+    return word_summary(by_word(obs), epochs, sysobs)
+
+
+def word_summary(base: DataFrame, epochs: DataFrame | None = None, sysobs: Column | None = None) -> DataFrame:
+    """The same from (file, epoch_idx, sv, word, n, mask)."""
     by_sv = base.groupBy("file", "epoch_idx", "sv").agg(F.sum("n").alias("n"))
     by_epoch = by_sv.groupBy("file", "epoch_idx").agg(F.count("*").alias("n_sats"), F.sum("n").alias("n_obs"))
     seen = by_epoch.groupBy("file").agg(F.count("*").alias("n"), F.max("n_obs").alias("maxobs"), F.max("n_sats").alias("maxsats"), F.sum("n_obs").alias("totobs"))

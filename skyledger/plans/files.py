@@ -15,6 +15,7 @@ from skyledger.plans.registry import IDENTITY, query
 from skyledger.plans.view import CODES, NAMES, SYSTEMS, observations, raw
 from skyledger.scratch import Scratch
 from skyledger.sources import compact, convert, signal_store, text
+from skyledger.sources import scan as scanning
 from skyledger.streaming import passes as st
 
 ST = station.SQL
@@ -126,7 +127,7 @@ def obs_scan_csv(spark, sf_dir):
     """The scan command's lines as CSV files, read again: flags 0 and 1, all records counted, and a line
     for a file without observations."""
     out = Scratch(spark, "scan").path("csv")
-    cli.scan(reading(spark, sf_dir, 3), False)[-1].write.option("header", True).csv(out)
+    cli.scan(scanning.scan_records(station.station_files(spark, sf_dir, 3, False)), False)[-1].write.option("header", True).csv(out)
     return spark.read.option("header", True).schema("filename string, epochs bigint, maxobs bigint, maxsats bigint, sysobs bigint, satobs bigint, totobs bigint, maxepochs bigint").csv(out)
 
 
@@ -135,7 +136,19 @@ t AS (SELECT day, hour, CAST(sum(n) AS BIGINT) AS sats, coalesce(max(n) FILTER (
  coalesce(max(n) FILTER (WHERE sys = 'R'), 0) AS R, coalesce(max(n) FILTER (WHERE sys = 'C'), 0) AS C FROM p GROUP BY ALL)
 SELECT day AS file, count(*) AS count, max(sats) AS max_sats, max(G) AS G, max(E) AS E, max(R) AS R, max(C) AS C FROM t GROUP BY day""")
 def obs_maxima_command(spark, sf_dir):
-    return cli.maxima(reading(spark, sf_dir, 3), False)[-1]
+    return cli.maxima(scanning.scan_records(station.station_files(spark, sf_dir, 3, False)), False)[-1]
+
+
+@query(SCAN.replace("CAST(0 AS BIGINT) AS sysobs", "CAST(5 AS BIGINT) AS sysobs").replace("'empty', 0, 0, 0, 0", "'empty', 0, 0, 0, 5"))
+def obs_scan_v2(spark, sf_dir):
+    """The scan command over files of version 2, whose one list of codes is counted."""
+    return cli.scan(scanning.scan_records(station.station_files(spark, sf_dir, 2, False)), False)[-1]
+
+
+@query(SCAN)
+def obs_scan_compact(spark, sf_dir):
+    """The scan command over compact files, whose values are decoded first."""
+    return cli.scan(scanning.scan_records(station.station_files(spark, sf_dir, 3, True)), False)[-1]
 
 
 LABEL = "SYS / # / OBS TYPES"

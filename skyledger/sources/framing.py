@@ -11,8 +11,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 RECORD = "file string, version string, compact boolean, rec_idx bigint, epoch_idx bigint, line_no bigint, kind string, head string, init boolean, clock string, codes string, lines array<string>, error string, reason string"
-OBS, EVENT, ERROR, HEADER = "obs", "event", "error", "header"
+OBS, EVENT, ERROR, HEADER, WORD = "obs", "event", "error", "header", "word"
 PLAIN, COMPACT, END, TYPES2, TYPES3 = "RINEX VERSION / TYPE", "CRINEX VERS   / TYPE", "END OF HEADER", "# / TYPES OF OBSERV", "SYS / # / OBS TYPES"  # labels fixed by the format
 
 UINT = re.compile(r" *[0-9]*$")
@@ -101,15 +103,70 @@ def good_fields(line: str) -> bool:
     return FIELDS(line) is not None or FIELDS(line.ljust(3 + -(-(len(line) - 3) // 16) * 16)) is not None
 
 
-def pieces_of(text: str) -> Iterator[list[str]]:
-    """The lines of a whole text."""
+def _byte_class(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+DIGIT, NONZERO, SIGNED, HEAD = (_byte_class(x) for x in (b"0123456789", b"123456789", b"-0123456789", b" -0123456789"))
+
+
+class Fields:
+    """Fields of many lines at once: a field j of a line stands in 16 characters from first + 16 * j.
+
+    good: lines whose fields are all blank or plainly F14.3 with two more characters (others have to be
+    looked at one by one); filled and present, by line and field: not blank, and other than zero.
+    """
+
+    def __init__(self, lines: list[str], first: int, n: int):
+        raw = np.frombuffer(("\n".join(lines) + "\n").encode("ascii", "replace"), np.uint8)
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.start = np.cumsum(size + 1) - size - 1
+        end = self.start + size
+        digit = DIGIT[raw]
+        point = np.zeros(len(raw) + 16, bool)  # a point and three digits begin here
+        point[: len(raw) - 3] = (raw[:-3] == ord(".")) & digit[1:-2] & digit[2:-1] & digit[3:]
+        odd = ~HEAD[raw]  # no part of blanks, sign, digits in this order
+        odd[:-1] |= SIGNED[raw[:-1]] & HEAD[raw[1:]] & ~digit[1:]
+        total = lambda x: np.concatenate(([0], np.cumsum(x, dtype=np.int32)))
+        odd, used, nonzero = total(odd), total(raw != ord(" ")), total(NONZERO[raw])
+        a = self.start[:, None] + first + 16 * np.arange(n)
+        stop = end[:, None]
+        at, value, after = np.minimum(a, stop), np.minimum(a + 14, stop), np.minimum(a + 16, stop)
+        self.filled = used[after] != used[at]
+        self.present = nonzero[value] != nonzero[at]
+        plain = (a + 14 <= stop) & point[np.minimum(a + 10, len(raw))] & (odd[np.minimum(a + 10, stop)] == odd[at])
+        self.good = (plain | ~self.filled).all(axis=1)
+        self.raw, self.used, self.end = raw, used, end
+
+    def named(self, limit: dict[str, int]) -> None:
+        """Of lines that begin with a satellite's name: good also needs a name, of a system in limit, and
+        nothing from limit on."""
+        where = np.full(256, -1)
+        for system, n in limit.items():
+            if "A" <= system <= "Z":
+                where[ord(system)] = n
+        long = self.end - self.start >= 3
+        at = np.where(long, self.start, 0)
+        rest = where[self.raw[at]]
+        tail = np.minimum(self.start + np.maximum(rest, 0), self.end)
+        last = len(self.raw) - 1
+        tens, ones = self.raw[np.minimum(at + 1, last)], self.raw[np.minimum(at + 2, last)]
+        self.good &= long & (rest >= 0) & ((tens == ord(" ")) | DIGIT[tens]) & DIGIT[ones] & (self.used[self.end] == self.used[tail])
+
+
+def pieces_of(text: str, size: int = 8000) -> Iterator[list[str]]:
+    """The lines of a whole text, so many at a time."""
     lines = text.split("\n")
     if lines[-1] == "":
         lines.pop()
-    yield [x.rstrip("\r") for x in lines] if "\r" in text else lines
+    if "\r" in text:
+        lines = [x.rstrip("\r") for x in lines]
+    yield from (lines[k : k + size] for k in range(0, len(lines), size))
 
 
-def pieces_from(stream, size: int = 4 << 20) -> Iterator[list[str]]:
+def pieces_from(stream, size: int = 1 << 20) -> Iterator[list[str]]:
     """The lines of a binary stream, read in pieces."""
     rest = b""
     while data := stream.read(size):
@@ -123,7 +180,10 @@ def pieces_from(stream, size: int = 4 << 20) -> Iterator[list[str]]:
 
 
 class Framer:
-    def __init__(self, file: str, pieces: str | Iterable[list[str]]):
+    """shapes: plain observation rows also have `shape`, which fields are filled and which are present."""
+
+    def __init__(self, file: str, pieces: str | Iterable[list[str]], shapes: bool = False):
+        self.shapes, self.fields, self.seen = shapes, None, {}
         self.file, self.more = file, iter(pieces_of(pieces) if isinstance(pieces, str) else pieces)
         self.lines: list[str] = []
         self.at = self.base = 0  # the next line's place in lines, and the number of lines[0]
@@ -139,8 +199,37 @@ class Framer:
             self.base += self.at
             self.lines = self.lines[self.at :] + piece
             self.at = 0
+            self.look()
         return True
 
+    def look(self) -> None:
+        """Looks at the fields of all lines at hand, once the header has told how many there are."""
+        if self.codes is None or self.compact or not self.lines:
+            return
+        if self.version == "2":
+            self.fields = Fields(self.lines, 0, 5)
+            return
+        self.fields = Fields(self.lines, 3, max(self.n_obs.values()))
+        self.fields.named(self.limit)
+
+    def shape(self, a: int, b: int, systems: list[str]) -> dict:
+        """Fields of the lines from a to b, of satellites of these systems; no field without a code."""
+        if not self.shapes:
+            return {}
+        filled, present = self.fields.filled[a:b], self.fields.present[a:b]
+        if self.version == "2":
+            per = -(-max(self.n_obs.values()) // 5)
+            filled, present = (x.reshape(len(systems), 5 * per) for x in (filled, present))
+            known = self.known.get(" ", ())
+            coded = np.zeros(filled.shape[1], bool)
+            coded[: len(known)] = known
+        else:
+            coded = np.zeros((len(systems), filled.shape[1]), bool)
+            for s in set(systems):
+                known = self.known[s]
+                coded[np.array([x == s for x in systems]), : len(known)] = known
+        return {"shape": (filled & coded, present & coded)}
+
     def resync(self, begins) -> None:
         """On to the next line that can begin a record."""
         while self.fill(1) and not begins(self.lines[self.at]):
@@ -191,7 +280,9 @@ class Framer:
         self.limit = {s: 3 + 16 * n for s, n in self.n_obs.items()}
         self.blank = "G" if self.n_obs.keys() >= {"G"} else next(iter(self.n_obs))
         self.codes = ";".join(f"{s}:{','.join(x[: self.n_obs.get(s) or max(self.n_obs.values())])}" for s, x in names.items() if s)
+        self.known = {s: np.array([c != "" for c in x[: self.n_obs.get(s) or max(self.n_obs.values())]], bool) for s, x in names.items() if s}
         self.at = end + 1
+        self.look()
         yield from self.compact_records() if self.compact else self.records()
 
     def records(self) -> Iterator[dict]:
@@ -221,30 +312,47 @@ class Framer:
                 self.at += 1
                 self.resync(parse)
                 continue
+            here = self.at
             self.at += 1 + more
             if flag in "2345":
                 yield self.row(EVENT, begin, head=block[0], lines=block)
             elif self.version == "2":
                 heads = max(1, -(-n // 12))
-                svs = "".join(x[32:68].ljust(36) for x in block[:heads])
-                lines = [self.named(svs[3 * k : 3 * k + 3]) + "".join(x[:80].ljust(80) for x in block[heads + k * per : heads + (k + 1) * per]) for k in range(n)]
-                if all(map(good_fields, lines)):
-                    yield self.row(OBS, begin, head=block[0], clock=block[0][68:].strip() if len(block[0]) > 70 else None, lines=lines)
+                names = self.satellites(block, n)
+                good, lines = self.fields.good[here + heads : here + 1 + more].all(), names
+                if not (good and self.shapes):
+                    lines = [names[k] + "".join(x[:80].ljust(80) for x in block[heads + k * per : heads + (k + 1) * per]) for k in range(n)]
+                if good or all(map(good_fields, lines)):
+                    shape = self.shape(here + heads, here + 1 + more, [x[0] for x in names])
+                    yield self.row(OBS, begin, head=block[0], clock=block[0][68:].strip() if len(block[0]) > 70 else None, lines=lines, **shape)
                 else:
                     yield self.bad(begin, "observation field")
             else:
-                yield self.row(OBS, begin, head=block[0], clock=block[0][41:].strip() if len(block[0]) > 43 else None, lines=block[1:])
+                shape = self.shape(here + 1, here + 1 + more, [x[0] for x in block[1:]])
+                yield self.row(OBS, begin, head=block[0], clock=block[0][41:].strip() if len(block[0]) > 43 else None, lines=block[1:], **shape)
+
+    def satellites(self, block: list[str], n: int) -> list[str] | None:
+        """Names in a version-2 record's first lines; None if one is bad. Lists come again and again."""
+        svs = "".join(x[32:68].ljust(36) for x in block[: max(1, -(-n // 12))])[: 3 * n]
+        if svs not in self.seen:
+            names = [svs[3 * k : 3 * k + 3] for k in range(n)]
+            good = all(re.match(r"[ A-Z][ 0-9][0-9]$", x) for x in names)
+            if len(self.seen) == 1000:
+                self.seen.clear()
+            self.seen[svs] = [self.named(x) for x in names] if good else None
+        return self.seen[svs]
 
     def named(self, name: str) -> str:
         return self.blank + name[1:] if name[0] == " " else name
 
     def problem(self, block: list[str], n: int) -> str | None:
         if self.version == "2":
-            svs = "".join(x[32:68].ljust(36) for x in block[: max(1, -(-n // 12))])
-            names = [svs[3 * k : 3 * k + 3] for k in range(n)]
-            if not all(re.match(r"[ A-Z][ 0-9][0-9]$", x) for x in names):
+            names = self.satellites(block, n)
+            if names is None:
                 return "satellite name"
-            return None if {self.named(x)[0] for x in names} <= self.n_obs.keys() else "system without observation types"
+            return None if {x[0] for x in names} <= self.n_obs.keys() else "system without observation types"
+        if self.fields.good[self.at + 1 : self.at + 1 + n].all():
+            return None
         body, limit = block[1:], self.limit
         if not all(map(SATELLITE, body)):
             return "satellite line"
