@@ -103,57 +103,46 @@ def good_fields(line: str) -> bool:
     return FIELDS(line) is not None or FIELDS(line.ljust(3 + -(-(len(line) - 3) // 16) * 16)) is not None
 
 
-def _byte_class(chars: bytes) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[list(chars)] = True
-    return out
-
-
-DIGIT, NONZERO, SIGNED, HEAD = (_byte_class(x) for x in (b"0123456789", b"123456789", b"-0123456789", b" -0123456789"))
+BLANK8, FIRST2, FIRST6 = (np.frombuffer(x, np.uint64)[0] for x in (b" " * 8, b"\1\1" + b"\0" * 6, b"\1" * 6 + b"\0" * 2))
 
 
 class Fields:
     """Fields of many lines at once: a field j of a line stands in 16 characters from first + 16 * j.
 
-    good: lines whose fields are all blank or plainly F14.3 with two more characters (others have to be
-    looked at one by one); filled and present, by line and field: not blank, and other than zero.
+    Lines become rows of bytes of one width; a field is then two words of eight bytes, and a question to all
+    its characters one comparison of words. good: lines whose fields are all blank or plainly F14.3 with two
+    more characters (others have to be looked at one by one); filled and present, by line and field: not
+    blank, and other than zero.
     """
 
-    def __init__(self, lines: list[str], first: int, n: int):
-        raw = np.frombuffer(("\n".join(lines) + "\n").encode("ascii", "replace"), np.uint8)
-        size = np.fromiter(map(len, lines), np.int64, len(lines))
-        self.start = np.cumsum(size + 1) - size - 1
-        end = self.start + size
-        digit = DIGIT[raw]
-        point = np.zeros(len(raw) + 16, bool)  # a point and three digits begin here
-        point[: len(raw) - 3] = (raw[:-3] == ord(".")) & digit[1:-2] & digit[2:-1] & digit[3:]
-        odd = ~HEAD[raw]  # no part of blanks, sign, digits in this order
-        odd[:-1] |= SIGNED[raw[:-1]] & HEAD[raw[1:]] & ~digit[1:]
-        total = lambda x: np.concatenate(([0], np.cumsum(x, dtype=np.int32)))
-        odd, used, nonzero = total(odd), total(raw != ord(" ")), total(NONZERO[raw])
-        a = self.start[:, None] + first + 16 * np.arange(n)
-        stop = end[:, None]
-        at, value, after = np.minimum(a, stop), np.minimum(a + 14, stop), np.minimum(a + 16, stop)
-        self.filled = used[after] != used[at]
-        self.present = nonzero[value] != nonzero[at]
-        plain = (a + 14 <= stop) & point[np.minimum(a + 10, len(raw))] & (odd[np.minimum(a + 10, stop)] == odd[at])
-        self.good = (plain | ~self.filled).all(axis=1)
-        self.raw, self.used, self.end = raw, used, end
+    def __init__(self, lines: list[str], first: int, n: int, cut: bool = False):
+        width = first + 16 * n
+        self.raw = np.frombuffer("".join([x[:width].ljust(width) for x in lines]).encode("ascii", "replace"), np.uint8).reshape(len(lines), width)
+        raw = np.ascontiguousarray(self.raw[:, first:])
+        digit, blank, sign = raw - 48 < 10, raw == 32, raw == 45
+        odd = ~(digit | blank | sign)  # no part of blanks, sign and digits in this order
+        odd[:, :-1] |= (digit | sign)[:, :-1] & (blank | sign)[:, 1:]
+        words = lambda x: x.view(np.uint64).reshape(len(lines), n, 2)
+        text, some, odd = words(raw), words(raw - 49 < 9), words(odd)
+        self.filled = (text != BLANK8).any(axis=2)
+        self.present = (some[:, :, 0] | (some[:, :, 1] & FIRST6)) != 0
+        number = (odd[:, :, 0] | (odd[:, :, 1] & FIRST2)) == 0
+        digit = digit.reshape(len(lines), n, 16)
+        point = (raw.reshape(len(lines), n, 16)[:, :, 10] == 46) & digit[:, :, 11] & digit[:, :, 12] & digit[:, :, 13]
+        self.good = ((number & point) | ~self.filled).all(axis=1)
+        if not cut:  # what follows the last field is looked at one by one
+            self.good &= np.fromiter(map(len, lines), np.int64, len(lines)) <= width
 
     def named(self, limit: dict[str, int]) -> None:
         """Of lines that begin with a satellite's name: good also needs a name, of a system in limit, and
-        nothing from limit on."""
+        no field from limit on."""
         where = np.full(256, -1)
         for system, n in limit.items():
             if "A" <= system <= "Z":
                 where[ord(system)] = n
-        long = self.end - self.start >= 3
-        at = np.where(long, self.start, 0)
-        rest = where[self.raw[at]]
-        tail = np.minimum(self.start + np.maximum(rest, 0), self.end)
-        last = len(self.raw) - 1
-        tens, ones = self.raw[np.minimum(at + 1, last)], self.raw[np.minimum(at + 2, last)]
-        self.good &= long & (rest >= 0) & ((tens == ord(" ")) | DIGIT[tens]) & DIGIT[ones] & (self.used[self.end] == self.used[tail])
+        n, tens, ones = where[self.raw[:, 0]], self.raw[:, 1], self.raw[:, 2]
+        beyond = (self.filled & (np.arange(self.filled.shape[1]) >= n[:, None])).any(axis=1)
+        self.good &= (n >= 0) & ((tens == 32) | (tens - 48 < 10)) & (ones - 48 < 10) & ~beyond
 
 
 def pieces_of(text: str, size: int = 8000) -> Iterator[list[str]]:
@@ -166,7 +155,7 @@ def pieces_of(text: str, size: int = 8000) -> Iterator[list[str]]:
     yield from (lines[k : k + size] for k in range(0, len(lines), size))
 
 
-def pieces_from(stream, size: int = 1 << 20) -> Iterator[list[str]]:
+def pieces_from(stream, size: int = 1 << 19) -> Iterator[list[str]]:
     """The lines of a binary stream, read in pieces."""
     rest = b""
     while data := stream.read(size):
@@ -207,10 +196,10 @@ class Framer:
         if self.codes is None or self.compact or not self.lines:
             return
         if self.version == "2":
-            self.fields = Fields(self.lines, 0, 5)
+            self.fields = Fields(self.lines, 0, 5, cut=True)
             return
         self.fields = Fields(self.lines, 3, max(self.n_obs.values()))
-        self.fields.named(self.limit)
+        self.fields.named(self.n_obs)
 
     def shape(self, a: int, b: int, systems: list[str]) -> dict:
         """Fields of the lines from a to b, of satellites of these systems; no field without a code."""

@@ -53,9 +53,9 @@ def files(version: int) -> dict[str, str]:
 @pytest.mark.parametrize("version", [2, 3])
 def test_framing_is_the_same_line_by_line(version, monkeypatch):
     class Unsure(framing.Fields):
-        def __init__(self, *args):
-            super().__init__(*args)
-            self.good = np.zeros(len(self.start), bool)
+        def __init__(self, *args, **more):
+            super().__init__(*args, **more)
+            self.good = np.zeros(len(self.filled), bool)
 
     for name, content in files(version).items():
         fast = list(Framer("f", pieces_from(io.BytesIO(content.encode()), 3000)).rows())
