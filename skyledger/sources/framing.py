@@ -186,7 +186,8 @@ class Framer:
             if piece is None:
                 return False
             self.base += self.at
-            self.lines = self.lines[self.at :] + piece
+            del self.lines[: self.at]
+            self.lines += piece  # in place: a header without an end must not copy all before for each piece
             self.at = 0
             self.look()
         return True
