@@ -4,15 +4,17 @@
 2. Every set is put into one order for all: shingles frequent in a sample last, then by hash. Two
    sets of similarity t share a shingle within their first size - ceil(t * size) + 1 ones (prefix
    filter), and at their first common one neither set has too little left (positional filter).
-3. Nodes meet by shingle. In small groups all pairs are candidates. A large group is first met by
+3. Where links by another method are given (`first`: the fingerprints of simhash.py), they are tested
+   first, as in step 5, and groups of nodes that they bind to one component need not meet again.
+4. Nodes meet by shingle. In small groups all pairs are candidates. A large group is first met by
    stars around single nodes, of components drawn anew in each round, for as long as rounds join
    many components; then all pairs whose ends are not yet in one component are candidates, so that no pair
    that could join two classes stays untested.
-4. Candidates differ in few of 256 parities of their hashes, which bounds the overlap from above. Of
+5. Candidates differ in few of 256 parities of their hashes, which bounds the overlap from above. Of
    different pairs, longer sketches of parities, of two bits a shingle and more, are compared in the
    same way; they let through little below a similarity of 0.75. What is left is tested on the sets,
    worked out again from the texts of the nodes that have such a candidate.
-5. Connected components over the pairs that pass.
+6. Connected components over the pairs that pass.
 
 No step leaves out a pair at or over the bound, but for equal 64-bit hashes of unlike shingles or sets.
 """
@@ -72,8 +74,9 @@ def folded(s: np.ndarray, size: int) -> np.ndarray:
     return s
 
 
-def prefixes(rows: DataFrame, size: int, least: float, late: np.ndarray) -> DataFrame:
-    """(id, text_hash, node, size, sketch, parities, prefix) for rows of id and text."""
+def prefixes(rows: DataFrame, size: int, least: float, late: np.ndarray, first=None) -> DataFrame:
+    """(id, text_hash, node, size, sketch, parities, the columns of `first`, prefix) for rows of id and text."""
+    words = first.columns if first else []
     shared = rows.sparkSession.sparkContext.broadcast((np.sort(late), np.argsort(late, kind="stable")))
 
     def make():
@@ -81,8 +84,10 @@ def prefixes(rows: DataFrame, size: int, least: float, late: np.ndarray) -> Data
 
         sorted_late, rank = shared.value
 
-        def one(t: bytes | None) -> tuple[int, int, np.ndarray, np.ndarray]:
-            h = np.unique(shingle_hashes(t, size))
+        def one(t: bytes | None) -> tuple[int, int, np.ndarray, np.ndarray, list[int]]:
+            h = shingle_hashes(t, size)
+            own = first.words(h) if first else []
+            h = np.unique(h)
             parities = sketch(h)
             order = h
             if len(sorted_late) and len(h):
@@ -90,7 +95,7 @@ def prefixes(rows: DataFrame, size: int, least: float, late: np.ndarray) -> Data
                 is_late = sorted_late[at] == h
                 behind = h[is_late][np.argsort(rank[at[is_late]], kind="stable")]
                 order = np.concatenate([h[~is_late], behind])
-            return xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), parities, order[: len(h) - math.ceil(least * len(h) - 1e-6) + 1].view(np.int64)
+            return xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), parities, order[: len(h) - math.ceil(least * len(h) - 1e-6) + 1].view(np.int64), own
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = [one(t) for t in text_bytes(batch["text"])]
@@ -98,11 +103,13 @@ def prefixes(rows: DataFrame, size: int, least: float, late: np.ndarray) -> Data
             parity = np.array([folded(g[2], 32).view(np.int64) for g in got], np.int64).reshape(-1, 4)
             out = {"id": batch["id"], "text_hash": batch["text_hash"], "node": pa.array(node), "size": pa.array([g[1] for g in got], pa.int32()), "sketch": pa.array([g[2].tobytes() for g in got], pa.binary())}
             out |= {b: pa.array(np.ascontiguousarray(parity[:, k])) for k, b in enumerate(PARITIES)}
+            own = np.array([g[4] for g in got], np.uint64).view(np.int64).reshape(-1, len(words)) if words else None
+            out |= {c: pa.array(np.ascontiguousarray(own[:, k])) for k, c in enumerate(words)}
             return pa.record_batch(out | {"prefix": pa.array([g[3] for g in got], pa.list_(pa.int64()))})
 
         return f
 
-    return map_rows(rows.select("id", F.xxhash64("text").alias("text_hash"), "text"), make, "id long, text_hash long, node long, size int, sketch binary, " + ", ".join(f"{b} long" for b in PARITIES) + ", prefix array<long>")
+    return map_rows(rows.select("id", F.xxhash64("text").alias("text_hash"), "text"), make, "id long, text_hash long, node long, size int, sketch binary, " + ", ".join(f"{b} long" for b in [*PARITIES, *words]) + ", prefix array<long>")
 
 
 def row_id(c: Column) -> Column:
@@ -160,22 +167,23 @@ def passing(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, rows: DataF
     return scratch.save(pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where(both >= least * either).select("u", "v"), f"passed-{name}")
 
 
-def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, size: int = 5, least: float = 0.8, small: int = 48, stars: int = 3) -> DataFrame:
+def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, size: int = 5, least: float = 0.8, small: int = 48, stars: int = 3, first=None) -> DataFrame:
     """(id, text_hash, component), a row for each row; text_hash is xxhash64 of the text, id as row_id has it.
 
-    small and stars only choose how pairs are met, not which: whatever they are, no pair whose ends are
-    not in one component by then stays untested.
+    first gives links to start with: words(h) of a text's shingle hashes as its columns, and edges() over
+    the nodes' words. small and stars only choose how pairs are met, not which: whatever they and first
+    are, no pair whose ends are not in one component by then stays untested.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(row_id(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
-    found = scratch.save(prefixes(rows, size, least, frequent(rows, size)), "prefixes")
+    found = scratch.save(prefixes(rows, size, least, frequent(rows, size), first), "prefixes")
     nodes = scratch.save(found.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("row")).select("node", "row.*"), "nodes")
-    first = found.join(near(nodes.select(F.col("id").alias("_id"), F.col("text_hash").alias("_text"))), (F.col("id") == F.col("_id")) & (F.col("text_hash") == F.col("_text")), "left_semi").drop("id", "text_hash")
-    met = first.select(F.posexplode("prefix").alias("pos", "shingle"), "node", "size").withColumn("n", F.count("*").over(W.partitionBy("shingle"))).where("n > 1")
+    of_node = found.join(near(nodes.select(F.col("id").alias("_id"), F.col("text_hash").alias("_text"))), (F.col("id") == F.col("_id")) & (F.col("text_hash") == F.col("_text")), "left_semi").drop("id", "text_hash")
+    met = of_node.select(F.posexplode("prefix").alias("pos", "shingle"), "node", "size").withColumn("n", F.count("*").over(W.partitionBy("shingle"))).where("n > 1")
     met = scratch.save(met, "met")
-    bits = first.select("node", *PARITIES).join(near(scratch.save(met.select("node").distinct(), "meeting")), "node", "left_semi").dropDuplicates(["node"])
+    bits = of_node.select("node", *PARITIES).join(near(scratch.save(met.select("node").distinct(), "meeting")), "node", "left_semi").dropDuplicates(["node"])
     met = scratch.save(met.join(bits, "node"), "groups")
-    sketches = scratch.save(first.select("node", "size", "sketch").dropDuplicates(["node"]).join(near(scratch.spark.read.parquet(scratch.path("meeting"))), "node", "left_semi"), "sketches")
+    sketches = scratch.save(of_node.select("node", "size", "sketch").dropDuplicates(["node"]).join(near(scratch.spark.read.parquet(scratch.path("meeting"))), "node", "left_semi"), "sketches")
     scratch.drop("met")
 
     def all_pairs(groups: DataFrame, *apart: Column) -> DataFrame:
@@ -194,16 +202,26 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, size: int =
         met = groups.alias("b").join(hubs.select("shingle", F.explode("hubs").alias("a")), "shingle")
         return met.where((F.col("a.component") != F.col("b.component")) & could_pass(least)).select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v"))
 
-    edges = passing(star(met.where("n > 2").withColumn("component", F.col("node")), 0), nodes, sketches, rows, size, least, scratch, "0")
-    left, before, k = met, 0, 0
+    def still_open(groups: DataFrame, of: DataFrame, k: int) -> DataFrame:
+        """The groups that hold several components, with each node's component."""
+        known = groups.join(of.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(*groups.columns, F.coalesce("component", "node").alias("component"))
+        split = known.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+        return scratch.save(known.join(split, "shingle", "left_semi"), f"open-{k}")
+
+    data = (nodes, sketches, rows, size, least, scratch)
+    if first:
+        linked = passing(first.edges(found.select("node", *first.columns), scratch), *data, "links")
+        known = still_open(met, connected_components(linked, Scratch(docs.sparkSession, "jaccard-0")), 0)
+        left, edges = known.drop("component"), linked.union(passing(star(known.where("n > 2"), 0), *data, "0"))
+    else:
+        left, edges = met, passing(star(met.where("n > 2").withColumn("component", F.col("node")), 0), *data, "0")
+    before, k = 0, 0
     while True:
         k += 1
         of = connected_components(edges, Scratch(docs.sparkSession, f"jaccard-{k}"))
         if before == "final":
             break
-        known = left.join(of.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(*left.columns, F.coalesce("component", "node").alias("component"))
-        split = known.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-        known = scratch.save(known.join(split, "shingle", "left_semi"), f"open-{k}")
+        known = still_open(left, of, k)
         scratch.drop(f"open-{k - 1}")
         if known.isEmpty():
             break
@@ -216,7 +234,7 @@ def similar_classes(docs: DataFrame, id_col: str, text_col: str, *, size: int =
             before, pairs = "final", all_pairs(known, apart)
         else:
             before, pairs = state, all_pairs(known.where(F.col("n") <= small), apart).union(star(known.where(F.col("n") > small), 2 * k, 2 * k + 1))
-        edges = edges.union(passing(pairs, nodes, sketches, rows, size, least, scratch, str(k)))
+        edges = edges.union(passing(pairs, *data, str(k)))
         left = known.where(F.col("n") > small).drop("component")
     of = scratch.save(of.withColumnRenamed("node", "_node"), "components")
     scratch.keep_only("prefixes", "components")

@@ -48,9 +48,8 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: bytes | None, size: int, guards: bool = False) -> list[int]:
-    """The fingerprint, and behind it the guard words if asked for."""
-    h = shingle_hashes(text, size)
+def words_of(h: np.ndarray, guards: bool = False) -> list[int]:
+    """The fingerprint of a text's shingles, repeats included, and behind it the guard words if asked for."""
     if not len(h):
         return [0] * (1 + len(MIXERS) * guards)
     out = [majority(h)]
@@ -60,6 +59,10 @@ def fingerprint(text: bytes | None, size: int, guards: bool = False) -> list[int
     return out
 
 
+def fingerprint(text: bytes | None, size: int, guards: bool = False) -> list[int]:
+    return words_of(shingle_hashes(text, size), guards)
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, guards: bool) -> DataFrame:
     """(id, fp, guard words): as signed longs with the bits."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -267,20 +270,12 @@ def verify(groups: DataFrame, keys: list[str], link: Near, small: int = 48) -> D
     return groups.repartition(*keys).sortWithinPartitions(*keys).select(*names).mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, radius: int = 3, guard: int | None = None, block: int = 2048) -> DataFrame:
-    """(id, fp, component_id), a row for each input row.
-
-    guard: beside the radius, at most so many of 256 bits may differ: those of the fingerprint and of
-    three more made from the same shingles. It keeps a wide radius from linking what is not alike.
-    """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    words = ["fp", *(GUARDS if guard is not None else ())]
-    fps = scratch.save(fingerprints(docs, id_col, text_col, shingle, guard is not None), "fingerprints")
-    every = scratch.save(fps.groupBy(*words).agg(F.min("id").alias("id")), "nodes")
-    nodes = every.where("id is not null")
+def links(nodes: DataFrame, radius: int, guard: int | None, block: int) -> DataFrame | None:
+    """Steps 3 and 4: edges (u, v) that bind the linked nodes of (id, fp, guard words); None without nodes."""
+    words = [c for c in nodes.columns if c != "id"]
     n, both = bit_statistics(nodes)
     if n == 0:
-        return fps.select("id", "fp", F.col("id").alias("component_id"))
+        return None
     sigs = signatures(nodes, allocate(n, both, radius))
     hot = sigs.groupBy("probe", "sig").count().where(F.col("count") > block)
     hot = hot.select("probe", "sig", F.ceil(F.col("count") / block).cast("int").alias("chunks"))
@@ -290,12 +285,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b")))
     )
     met = sigs.join(hot, ["probe", "sig"], "left").select("probe", "sig", "id", *words, F.explode(meets).alias("m")).select("probe", "sig", "m.a", "m.b", "id", *words)
-    edges = verify(met, ["probe", "sig", "a", "b"], Near(radius, guard))
+    return verify(met, ["probe", "sig", "a", "b"], Near(radius, guard))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, radius: int = 3, guard: int | None = None, block: int = 2048) -> DataFrame:
+    """(id, fp, component_id), a row for each input row.
+
+    guard: beside the radius, at most so many of 256 bits may differ: those of the fingerprint and of
+    three more made from the same shingles. It keeps a wide radius from linking what is not alike.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    words = ["fp", *(GUARDS if guard is not None else ())]
+    fps = scratch.save(fingerprints(docs, id_col, text_col, shingle, guard is not None), "fingerprints")
+    every = scratch.save(fps.groupBy(*words).agg(F.min("id").alias("id")), "nodes")
+    edges = links(every.where("id is not null"), radius, guard, block)
+    if edges is None:
+        return fps.select("id", "fp", F.col("id").alias("component_id"))
     found = connected_components(edges, scratch)
     classes = every.join(found, every["id"] == found["node"], "left").select(*[every[w] for w in words], F.coalesce("component", "id").alias("component_id"))
     return fps.join(classes, words).select("id", "fp", "component_id")
 
 
+class FirstLinks:
+    """How the texts of the pipeline meet first: steps 1 to 4 for similar_classes, which has their hashes at hand."""
+
+    def __init__(self, radius: int = 3, guard: int | None = None, block: int = 2048):
+        self.radius, self.guard, self.block = radius, guard, block
+        self.columns = ["fp", *(GUARDS if guard is not None else ())]
+
+    def words(self, h: np.ndarray) -> list[int]:
+        return words_of(h, self.guard is not None)
+
+    def edges(self, rows: DataFrame, scratch: Scratch) -> DataFrame:
+        """(u, v) for rows of (node, columns): the links, and ties of the nodes with equal words."""
+        rows = scratch.save(rows.distinct(), "words")
+        named = scratch.save(rows.groupBy(*self.columns).agg(F.min("node").alias("id")), "named")
+        equal = rows.join(named, self.columns).select(F.col("id").alias("u"), F.col("node").alias("v"))
+        found = links(named, self.radius, self.guard, self.block)
+        both = equal if found is None else equal.union(found)
+        return both.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -304,14 +334,16 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the document of the smallest id stays.
 
-    Shingles have five words, and links a Jaccard similarity of 0.8, exactly (see jaccard.py): all
-    pairs at 0.8 and more are joined, and none below. Rows are told apart by id and text, so that a
+    Fingerprints of five-word shingles link as in op3, at 3 or fewer differing bits. Their links are
+    tested exactly: a Jaccard similarity of 0.8 binds, and nothing below. At 0.8 about 15 percent of the
+    bits differ; so an exact join (see jaccard.py) goes on from the classes that the fingerprints gave
+    and adds the pairs beyond the radius, which leaves no pair at 0.8 and more unbound. Rows are told apart by id and text, so that a
     repeated id loses only rows that have a partner; of equal rows one stays. Rows without id are
     grouped like others and stay only where no partner has an id. Null texts, empty texts and texts
     of blanks are alike and form one group. All columns are carried, whatever their names.
     """
     scratch = Scratch(spark, "dedup")
-    found = scratch.save(similar_classes(docs, "doc_id", "text", size=5, least=0.8), "classes")
+    found = scratch.save(similar_classes(docs, "doc_id", "text", size=5, least=0.8, first=FirstLinks()), "classes")
     row = F.struct("id", "text_hash")
     best = found.groupBy("component").agg(F.min(row).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best")
     grouped = scratch.save(found.join(best, "component").select("id", "text_hash", (row == F.col("best")).alias("stays")), "grouped")
