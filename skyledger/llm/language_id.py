@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import bounded_sample, id_bucket, map_rows, text_bytes, whole_rows, with_columns
+from skyledger.llm.common import bounded_sample, id_bucket, map_rows, release, text_bytes, whole_rows, with_columns
 
 DIMS = 4096
 UNKNOWN = "und"
@@ -161,6 +161,7 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     like any others. All columns are carried, whatever their names.
     """
     model = fit_language_id(docs.where(id_bucket("doc_id", 4) != 2), "text", "lang", "doc_id")
+    release()  # the sample's arrays, which the driver would hold through the later stages
     if model is None:
         return docs
     return predicted(whole_rows(docs, _text=F.col("text")), model).where(~F.col("rejected")).select("row.*")
