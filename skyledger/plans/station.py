@@ -7,14 +7,15 @@ Beside the days there is a file with a header and nothing else.
 from __future__ import annotations
 
 import datetime as dt
-from itertools import groupby
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.plans.view import NAMES, SYSTEMS, observations, raw
-from skyledger.sources import compact, text
+from skyledger.sources import arrow, compact, text
 
 EMPTY = "empty"
 
@@ -50,36 +51,60 @@ def station_files(spark: SparkSession, sf_dir: str, version: int, packed: bool)
     e = special(spark, sf_dir).withColumns({"file": day, "clock": none("bigint"), "sv": none("string"), "code_idx": none("int"), "value_e3": none("bigint"), "lli": none("string"), "ssi": none("string")})
     last = spark.range(1).select(F.lit(EMPTY).alias("file"), *[none("bigint" if c in ("hour", "event_id", "clock", "value_e3") else "int" if c == "code_idx" else "string").alias(c) for c in ROW[1:]])
 
-    def put(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(ROW).to_pylist(), key=lambda r: (r["hour"] or 0, r["event_id"] is None, r["event_id"] or 0, r["sv"] or "", r["code_idx"] or 0))
-        return pa.table({"file": [rows[0]["file"]], "content": [content([r for r in rows if r["hour"] is not None], version, packed)]})
+    def put(batches):
+        yield from put_files(batches, version, packed)
 
-    return o.select(*ROW).unionByName(e.select(*ROW)).unionByName(last).groupBy("file").applyInArrow(put, "file string, content string")
+    # sorted by the engine, so that a task holds an hour's rows and the text so far
+    rows = o.select(*ROW).unionByName(e.select(*ROW)).unionByName(last).repartition("file")
+    rows = rows.sortWithinPartitions("file", "hour", F.col("event_id").asc_nulls_last(), "sv", "code_idx")
+    return rows.mapInArrow(put, "file string, content string")
 
 
-def content(rows: list[dict], version: int, packed: bool) -> str:
-    codes, records = NAMES[2 if version == 2 else 3][:5], []
+def put_files(batches: Iterable[pa.RecordBatch], version: int, packed: bool) -> Iterator[pa.RecordBatch]:
+    """Files from batches of rows in order: of a file its events before its observations in each hour."""
+    for file, rows in groupby(arrow.rows_of(batches), key=lambda r: r["file"]):
+        yield pa.record_batch({"file": [file], "content": [content((r for r in rows if r["hour"] is not None), version, packed)]})
+        arrow.release()
+
+
+def content(rows: Iterable[dict], version: int, packed: bool) -> str:
+    out = bytearray()
+    for line in lines_of(iter(rows), version, packed):
+        out += line.encode() + b"\n"
+    return out.decode()
+
+
+def lines_of(rows: Iterator[dict], version: int, packed: bool) -> Iterator[str]:
+    codes, first = NAMES[2 if version == 2 else 3][:5], next(rows, None)
+    records = records_of(rows if first is None else chain([first], rows), version, len(codes))
+    if packed:
+        yield f"{'1.0' if version == 2 else '3.0':<20}{'COMPACT RINEX FORMAT':<40}CRINEX VERS   / TYPE"
+        yield f"{'':<60}CRINEX PROG / DATE  "
+    yield from text.header_lines(version, codes, SYSTEMS)
+    if packed:
+        order = 1 + (first["hour"] // 24 % 9 if first else 0)
+        scaled = ((*r[:2], *(x if x is None or version != 2 else x // 1000 for x in r[2:])) for r in records)
+        yield from compact.compact_lines(scaled, version, order)
+        return
+    for head, body, *more in records:
+        yield from [head, *body] if isinstance(body, list) else plain(head, body, more[0], version)
+
+
+def records_of(rows: Iterator[dict], version: int, n_codes: int) -> Iterator[tuple]:
+    """Events as (line, lines), epochs as (line, fields by satellite, clock offset)."""
     for hour, part in groupby(rows, key=lambda r: r["hour"]):
         t = dt.datetime(1970, 1, 1) + dt.timedelta(hours=hour)
-        part = list(part)
-        for r in (r for r in part if r["event_id"] is not None):
-            records.append(((" " * 28 if version == 2 else ">" + " " * 30) + f"{r['flag']}  1", [r["note"]]))
-        seen = [r for r in part if r["event_id"] is None]
+        sats: dict[str, list] = {}
+        seen = None
+        for r in part:
+            if r["event_id"] is not None:
+                yield (" " * 28 if version == 2 else ">" + " " * 30) + f"{r['flag']}  1", [r["note"]]
+                continue
+            seen = seen or r
+            sats.setdefault(r["sv"], [None] * n_codes)[r["code_idx"]] = (r["value_e3"], r["lli"], r["ssi"])
         if seen:
-            sats: dict[str, list] = {}
-            for r in seen:
-                sats.setdefault(r["sv"], [None] * len(codes))[r["code_idx"]] = (r["value_e3"], r["lli"], r["ssi"])
-            head = t.strftime(" %y %m %d %H %M" if version == 2 else "> %Y %m %d %H %M") + f"  0.0000000  {seen[0]['flag']}{len(sats):3d}"
-            records.append((head, sats, seen[0]["clock"]))
-    lines = text.header_lines(version, codes, SYSTEMS)
-    if packed:
-        first = [f"{'1.0' if version == 2 else '3.0':<20}{'COMPACT RINEX FORMAT':<40}CRINEX VERS   / TYPE", f"{'':<60}CRINEX PROG / DATE  "]
-        order = 1 + (rows[0]["hour"] // 24 % 9 if rows else 0)
-        scaled = [(*r[:2], *(x if x is None or version != 2 else x // 1000 for x in r[2:])) for r in records]
-        return "\n".join([*first, *lines, *compact.compact_text(scaled, version, order)]) + "\n"
-    for head, body, *more in records:
-        lines += [head, *body] if isinstance(body, list) else plain(head, body, more[0], version)
-    return "\n".join(lines) + "\n"
+            head = t.strftime(" %y %m %d %H %M" if version == 2 else "> %Y %m %d %H %M") + f"  0.0000000  {seen['flag']}{len(sats):3d}"
+            yield head, sats, seen["clock"]
 
 
 def plain(head: str, sats: dict[str, list], offset: int | None, version: int) -> list[str]:

@@ -8,6 +8,8 @@ satellite that was absent, or an initial epoch line, starts anew.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,28 +119,31 @@ def changes(old: str, new: str) -> str:
 
 
 def compact_text(epochs: list[tuple], version: int, order: int = 3) -> list[str]:
+    return list(compact_lines(epochs, version, order))
+
+
+def compact_lines(epochs: Iterable[tuple], version: int, order: int = 3) -> Iterator[str]:
     """Compact lines of epochs, in Python, for writing files and for tests. An epoch is (epoch line
     without satellites, {sv: fields}), with a third item for the clock offset as a whole number or
     None; a field is (value_e3, lli, ssi) or None. An event is (event line, list of its lines): it is
     written as it is, and the next epoch begins anew."""
-    out, last_line, arcs, flags, clock = [], None, {}, {}, Arc(order)
+    last_line, arcs, flags, clock = None, {}, {}, Arc(order)
     for head, sats, *more in epochs:
         if isinstance(sats, list):
-            out += ["&" + head[1:] if version == 2 else head, *sats]
+            yield from ["&" + head[1:] if version == 2 else head, *sats]
             last_line = None
             continue
         full = head.ljust(32 if version == 2 else 41) + "".join(sats)
         if last_line is None:
-            out.append("&" + full[1:] if version == 2 else full)
+            yield "&" + full[1:] if version == 2 else full
             arcs, flags, clock = {}, {}, Arc(order)
         else:
-            out.append(changes(last_line, full).rstrip())
+            yield changes(last_line, full).rstrip()
         last_line = full
-        out.append(clock.token(more[0] if more else None))
+        yield clock.token(more[0] if more else None)
         arcs, flags = {sv: arcs.get(sv) or [Arc(order) for _ in fields] for sv, fields in sats.items()}, {sv: flags.get(sv, "") for sv in sats}
         for sv, fields in sats.items():
             tokens = [arc.token(None if x is None else x[0]) for arc, x in zip(arcs[sv], fields, strict=True)]
             new = "".join("  " if x is None else x[1] + x[2] for x in fields)
-            out.append((" ".join(tokens) + " " + changes(flags[sv], new)).rstrip())
+            yield (" ".join(tokens) + " " + changes(flags[sv], new)).rstrip()
             flags[sv] = new
-    return out

@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.fields import full_year, obs_value, pack_date, pack_minute, packed_timestamp, parse_fixed, parse_uint, render_obs
 from skyledger.scratch import Scratch, shared_dir
+from skyledger.sources import arrow
 from skyledger.sources.compact import decode_clock, decode_compact
 from skyledger.sources.framing import EVENT, HEADER, OBS, RECORD, TYPES2, TYPES3, Framer, pieces_from
 
 TYPES = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 FIELDS = [x.split() for x in RECORD.split(", ")]
+HELD = 5000  # lines put together before they are handed on
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -36,9 +38,8 @@ def records(files: DataFrame) -> DataFrame:
     """Framed records of files(file, content)."""
 
     def run(batches):
-        for batch in batches:
-            for file, content in zip(batch["file"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                yield from _framed(Framer(file, content or ""))
+        for file, content in arrow.files_of(batches):
+            yield from _framed(Framer(file, content or ""))
 
     return files.select("file", "content").mapInArrow(run, RECORD)
 
@@ -72,12 +73,13 @@ def spool(spark: SparkSession, stream: io.RawIOBase | None = None, name: str = "
 
 
 def _framed(framer: Framer) -> Iterator[pa.RecordBatch]:
-    held = []
+    held, n = [], 0
     for row in framer.rows():
         held.append(row)
-        if len(held) == 2000:
+        n += len(row["lines"])
+        if len(held) == 2000 or n >= HELD:
             yield _batch(held)
-            held = []
+            held, n = [], 0
     if held:
         yield _batch(held)
 
