@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from skyledger.operators.analytics import by_word
 from skyledger.scratch import Scratch
-from skyledger.sources import text
+from skyledger.sources import arrow, text
 from skyledger.sources.compact import decode_compact
 from skyledger.sources.framing import OBS, RECORD, WORD, Framer, pieces_from
 
@@ -99,8 +99,7 @@ def scan_records(files: DataFrame) -> Scan:
     """Scans files(file, content)."""
 
     def run(batches):
-        for batch in batches:
-            for file, content in zip(batch["file"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                yield from rows_of(Framer(file, content or "", shapes=True))
+        for file, content in arrow.files_of(batches):
+            yield from rows_of(Framer(file, content or "", shapes=True))
 
     return Scan(files.select("file", "content").mapInArrow(run, SCAN))
