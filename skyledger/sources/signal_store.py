@@ -9,7 +9,8 @@ only with indicators=true (the default).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from skyledger.sources import arrow
 from skyledger.sources.codec import Contents, Ranged, Store, encode_file
 
 SCHEMAS = {
@@ -26,6 +28,7 @@ SCHEMAS = {
     "headers": "file string, text string",
     "satellites": "file string, sv string, n_epochs bigint, codes array<string>",
 }
+HEAD, EVENT, SIGNAL = 0, 1, 2  # rows of a file, in this order
 
 
 class StoreSource(DataSource):
@@ -111,29 +114,64 @@ def register(spark: SparkSession) -> None:
 
 def encode_stores(obs: DataFrame, epochs: DataFrame, headers: DataFrame, events: DataFrame | None = None, *, chunk_digest: int = 0, file_digest: int = 0) -> DataFrame:
     """(file, content): a binary file for each file of obs(file, epoch_idx, sv, code, value_e3, lli, ssi),
-    epochs(file, epoch_idx, date, hh_mm, sec_e7, clock) and headers(file, text). A file is one task's."""
-    signals = obs.groupBy("file", "sv", "code").agg(F.array_sort(F.collect_list(F.struct("epoch_idx", "value_e3", "lli", "ssi"))).alias("v"))
-    parts = signals.groupBy("file").agg(F.collect_list(F.struct("sv", "code", "v")).alias("signals"))
+    epochs(file, epoch_idx, date, hh_mm, sec_e7, clock) and headers(file, text). A file is one task's, which
+    holds its epochs, a satellite and what is encoded so far."""
     e = epochs.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("epoch_idx", "date", "hh_mm", "sec_e7", "clock"))).alias("epochs"))
-    rows = headers.join(e, "file").join(parts, "file", "left")
-    if events is None:
-        rows = rows.withColumn("events", F.array().cast("array<struct<epoch_idx:bigint,text:string>>"))
-    else:
-        rows = rows.join(events.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("epoch_idx", "text"))).alias("events")), "file", "left")
+    rows = headers.join(e, "file").select("file", F.lit(HEAD).alias("kind"), "text", "epochs")
+    if events is not None:
+        rows = rows.unionByName(events.select("file", F.lit(EVENT).alias("kind"), "text", "epoch_idx"), allowMissingColumns=True)
+    signals = obs.groupBy("file", "sv", "code").agg(F.array_sort(F.collect_list(F.struct("epoch_idx", "value_e3", "lli", "ssi"))).alias("v"))
+    rows = rows.unionByName(signals.select("file", F.lit(SIGNAL).alias("kind"), "sv", "code", "v"), allowMissingColumns=True)
+    rows = rows.select("file", "kind", "text", "epochs", *(["epoch_idx"] if events is not None else [F.lit(None).cast("bigint").alias("epoch_idx")]), "sv", "code", "v")
 
     def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                place = {e["epoch_idx"]: k for k, e in enumerate(r["epochs"])}
-                sats: dict = {}
-                for s in r["signals"] or []:
-                    at = [place[x["epoch_idx"]] for x in s["v"]]
-                    sats.setdefault(s["sv"], {})[s["code"]] = (at, [x["value_e3"] for x in s["v"]], [x["lli"] or " " for x in s["v"]], [x["ssi"] or " " for x in s["v"]])
-                c = Contents(r["text"], [(e["date"], e["hh_mm"], e["sec_e7"], e["clock"] or 0) for e in r["epochs"]], [(x["epoch_idx"], x["text"]) for x in r["events"] or []])
-                c.satellites = {sv: (sorted({k for x in signals.values() for k in x[0]}), signals) for sv, signals in sats.items()}
-                yield pa.record_batch({"file": [r["file"]], "content": pa.array([encode_file(c, chunk_digest, file_digest)], pa.binary())})
+        yield from encoded(batches, chunk_digest, file_digest)
+
+    return rows.repartition("file").sortWithinPartitions("file", "kind", "epoch_idx", "text", "sv", "code").mapInArrow(run, "file string, content binary")
+
+
+def _columns(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """file, kind, text, epochs, epoch_idx, sv, code and v of each row; of epochs and v their columns."""
+    for batch in batches:
+        columns = [batch[c] for c in ("file", "kind", "text", "epochs", "epoch_idx", "sv", "code", "v")]
+        for k in range(batch.num_rows):
+            yield tuple(x[k].values if isinstance(x, pa.ListArray) else x[k].as_py() for x in columns)
+
+
+def encoded(batches: Iterable[pa.RecordBatch], chunk_digest: int, file_digest: int) -> Iterator[pa.RecordBatch]:
+    """Stores from batches of rows in order: of a file its header with the epochs, events, then signals."""
+    for file, rows in groupby(_columns(batches), key=lambda r: r[0]):
+        _, kind, text, times, *_ = next(rows)
+        if kind != HEAD:  # without header or epochs there is no store
+            continue
+        index, date, hh_mm, sec_e7, clock = (times.field(c).to_pylist() for c in ("epoch_idx", "date", "hh_mm", "sec_e7", "clock"))
+        place = {k: at for at, k in enumerate(index)}
+        rest = _Rest(rows)
+        c = Contents(text, list(zip(date, hh_mm, sec_e7, [x or 0 for x in clock], strict=True)), rest.events(), rest.satellites(place))
+        yield pa.record_batch({"file": [file], "content": pa.array([encode_file(c, chunk_digest, file_digest)], pa.binary())})
+        arrow.release()
+
+
+class _Rest:
+    """A file's events, then its satellites, as they are asked for."""
+
+    def __init__(self, rows: Iterator[tuple]):
+        self.rows, self.held = rows, None
+
+    def events(self) -> Iterator[tuple[int, str]]:
+        for r in self.rows:
+            if r[1] != EVENT:
+                self.held = r
+                return
+            yield r[4], r[2]
 
-    return rows.select("file", "text", "epochs", "signals", "events").mapInArrow(run, "file string, content binary")
+    def satellites(self, place: dict[int, int]) -> Iterator[tuple]:
+        for sv, part in groupby(self.rows if self.held is None else chain([self.held], self.rows), key=lambda r: r[5]):
+            signals = {}
+            for *_, code, v in part:
+                index, values, lli, ssi = (v.field(c).to_pylist() for c in ("epoch_idx", "value_e3", "lli", "ssi"))
+                signals[code] = ([place[k] for k in index], values, [x or " " for x in lli], [x or " " for x in ssi])
+            yield sv, (sorted({k for x in signals.values() for k in x[0]}), signals)
 
 
 def store_name(name: str) -> str:
@@ -152,7 +190,7 @@ def write_stores(files: DataFrame, path: str) -> int:
         fs, base = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
         fs.create_dir(base, recursive=True)
         for batch in batches:
-            for file, content in zip(batch["file"].to_pylist(), batch["content"].to_pylist(), strict=True):
+            for file, content in arrow.files_of([batch]):
                 name = store_name(file.rsplit("/", 1)[-1])
                 with fs.open_output_stream(f"{base}/.{name}.part") as f:
                     f.write(content)
